@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstream.llm import leaks, looks
+from siltstream.llm import leaks, looks, near
 from siltstream.sources.tables import table
 
 
@@ -22,6 +22,20 @@ def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "canonical", (F.col("canonical") != F.col("text")).alias("changed"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "scraped_items", "item_id", "content")
+    pairs, members = near.near_duplicates(items, "item_id", "content", width=3, threshold=0.6, least_words=60)
+    found = near.direct_pairs(pairs, members)
+    return found.select(F.col("id_a").alias("item_id_a"), F.col("id_b").alias("item_id_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near-duplicates by the usual five words and 0.8: every item with its class."""
+    items = table(spark, folder, "scraped_items", "item_id", "content")
+    found = near.classes(*near.near_duplicates(items, "item_id", "content"))
+    return found.withColumnRenamed("id", "item_id")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "eval_id", "text")
     return leaks.leaked_spans(docs, "doc_id", "text", items, "eval_id", "text")
@@ -38,6 +52,8 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p4_found": p4_found,
+        "p4_groups": p4_groups,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
         "p9_found": p9_found,
