@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstream.llm import leaks, looks, near
+from siltstream.llm import leaks, looks, near, repeats
 from siltstream.sources.tables import table
 
 
@@ -36,6 +36,18 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "item_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "scraped_items", "item_id", "domain", "content")
+    return repeats.repeated_lines(items, "item_id", "domain", "content").withColumnRenamed("id", "item_id")
+
+
+def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item's content without the lines its domain repeats."""
+    items = table(spark, folder, "scraped_items", "item_id", "domain", "content")
+    cut = repeats.repeated_lines(items, "item_id", "domain", "content")
+    return repeats.without_lines(items, "item_id", "content", cut).withColumnRenamed("id", "item_id")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "eval_id", "text")
     return leaks.leaked_spans(docs, "doc_id", "text", items, "eval_id", "text")
@@ -54,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p5_found": p5_found,
+        "p5_cleaned": p5_cleaned,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
         "p9_found": p9_found,
