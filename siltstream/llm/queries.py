@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstream.llm import leaks, looks, near, repeats
+from siltstream.llm import body, leaks, looks, near, repeats, residue
 from siltstream.sources.tables import table
 
 
@@ -22,6 +22,33 @@ def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "canonical", (F.col("canonical") != F.col("text")).alias("changed"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "scraped_items", "item_id", "content")
+    return body.lines_outside(items, "item_id", "content").withColumnRenamed("id", "item_id")
+
+
+def p1_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of every item."""
+    items = table(spark, folder, "scraped_items", "item_id", "content")
+    return body.main_body(items, "item_id", "content").withColumnRenamed("id", "item_id")
+
+
+def _residue(spark: SparkSession, folder: str) -> DataFrame:
+    items = residue.residue(table(spark, folder, "scraped_items", "item_id", "content"), "item_id", "content")
+    errors = residue.residue(table(spark, folder, "urls", "url", "last_error"), "url", "last_error", residue.residue_of_error)
+    named = items.select(F.lit("item").alias("origin"), F.col("item_id").cast("string").alias("record_key"), "reason")
+    return named.unionAll(errors.select(F.lit("url").alias("origin"), F.col("url").alias("record_key"), "reason"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _residue(spark, folder).filter("record_key IS NOT NULL").select("origin", "record_key").distinct()
+
+
+def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many records are residue, by origin and reason."""
+    return _residue(spark, folder).groupBy("origin", "reason").agg(F.count("*").alias("records"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "scraped_items", "item_id", "content")
     pairs, members = near.near_duplicates(items, "item_id", "content", width=3, threshold=0.6, least_words=60)
@@ -64,6 +91,10 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_bodies": p1_bodies,
+        "p2_found": p2_found,
+        "p2_reasons": p2_reasons,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
