@@ -8,6 +8,10 @@ from siltstream.llm.looks import looks_sql
 def oracle_sql() -> dict[str, str]:
     form = looks_sql("text")
     return {
+        "p3_found": """
+            SELECT i.item_id FROM scraped_items i JOIN split_limits l
+            ON l.content_type = CASE WHEN i.content_type IN (SELECT content_type FROM split_limits) THEN i.content_type ELSE 'text' END
+            WHERE CASE WHEN l.size_unit = 'bytes' THEN strlen(i.content) ELSE length(i.content) END > l.max_size""",
         "p9_texts": f"SELECT doc_id, {form} AS canonical, {form} <> text AS changed FROM documents",
         "p9_found": f"""
             WITH k AS (SELECT doc_id, text, {form} AS form FROM documents WHERE text IS NOT NULL)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstream.llm import body, leaks, looks, near, repeats, residue
+from siltstream.llm import body, leaks, looks, near, packing, pieces, repeats, residue, tokens
+from siltstream.session import materialize
 from siltstream.sources.tables import table
 
 
@@ -49,6 +50,20 @@ def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return _residue(spark, folder).groupBy("origin", "reason").agg(F.count("*").alias("records"))
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "scraped_items", "item_id", "content", "content_type", "metadata.headers")
+    return pieces.pieces(items, table(spark, folder, "split_limits"), headers_column="headers").withColumnRenamed("id", "item_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).filter("piece_no = 1 AND pieces > 1").select("item_id")
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The ordered pieces of every oversized item."""
+    return _pieces(spark, folder)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "scraped_items", "item_id", "content")
     pairs, members = near.near_duplicates(items, "item_id", "content", width=3, threshold=0.6, least_words=60)
@@ -75,6 +90,34 @@ def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.without_lines(items, "item_id", "content", cut).withColumnRenamed("id", "item_id")
 
 
+def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of documents by source, language and domain, and of scraped_items by domain."""
+    docs = table(spark, folder, "documents", "text", "lang", "source", "domain")
+    items = table(spark, folder, "scraped_items", "content", "domain")
+    by_all = tokens.token_totals(docs, "text", tokens.document_keys())
+    by_domain = tokens.token_totals(items, "content", {"domain": tokens.document_keys()["domain"]})
+    none = F.lit(None).cast("string")
+    by_domain = by_domain.select(F.lit("scraped_items").alias("origin"), none.alias("source"), none.alias("lang"), *by_domain.columns)
+    return by_all.select(F.lit("documents").alias("origin"), *by_all.columns).unionByName(by_domain)
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    texts = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    sized = materialize(tokens.count_tokens(texts).withColumnRenamed("key", "id"), "sized")
+    specs = packing.capacities(table(spark, folder, "pack_specs"), "spec_name", "capacity_tokens")
+    return packing.pack(sized, specs), specs
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in a container of each capacity."""
+    return _packed(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_rates(*_packed(spark, folder))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "eval_id", "text")
     return leaks.leaked_spans(docs, "doc_id", "text", items, "eval_id", "text")
@@ -95,10 +138,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_bodies": p1_bodies,
         "p2_found": p2_found,
         "p2_reasons": p2_reasons,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_cleaned": p5_cleaned,
+        "p6_totals": p6_totals,
+        "p7_packed": p7_packed,
+        "p7_fill": p7_fill,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
         "p9_found": p9_found,
