@@ -1 +1 @@
-
+"""Streaming twins of the stateful operators."""
