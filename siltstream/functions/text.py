@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _c(value: str | Column) -> Column:
@@ -46,7 +47,7 @@ def repaired(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([repaired(t) for t in batch], dtype=object)
@@ -86,7 +87,7 @@ def human_size(size: str | Column) -> Column:
     units = ("B", "KB", "MB", "GB", "TB")
     out = F.when(n == 0, "0 B")
     for k, unit in enumerate(units):
-        shown = F.concat(F.format_string("%.2f", n / F.lit(float(1024**k))), F.lit(f" {unit}"))
+        shown = F.concat(F.format_string("%.2f", F.bround(n / F.lit(float(1024**k)), 2)), F.lit(f" {unit}"))
         out = out.when(n < 1024.0 ** (k + 1), shown) if k < len(units) - 1 else out.otherwise(shown)
     return F.when(n.isNotNull(), out)
 
