@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,12 +30,13 @@ def clean_text(text: str | Column) -> Column:
     return stripped(F.regexp_replace(_c(text), "\n{3,}", "\n\n"))
 
 
-_MOJIBAKE = ("Ã", "Â", "â€", "ðŸ")
+# The first byte of a UTF-8 sequence followed by a further one, both read as Latin-1 or Windows-1252.
+_MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]")
 
 
 def repaired(text: str | None) -> str | None:
     """UTF-8 that was read as Windows-1252 and stored again, put right; any other text as it is."""
-    if not text or not any(mark in text for mark in _MOJIBAKE):
+    if not text or not _MOJIBAKE.search(text):
         return text
     for encoding in ("cp1252", "latin-1"):
         try:
