@@ -29,7 +29,12 @@ LANGUAGES = {
 
 
 def counter(name: str = TOKENIZER, folder: str = VOCABULARIES) -> Callable[[str], int]:
-    """A function that counts the tokens of a text under the tokenizer file ``name``."""
+    """A function that counts the tokens of a text under the tokenizer file ``name``; stray surrogates count as ``?``."""
+    count = _counter(name, folder)
+    return lambda text: count(text.encode("utf-8", "replace").decode("utf-8"))
+
+
+def _counter(name: str, folder: str) -> Callable[[str], int]:
     path = os.path.join(folder, name)
     if name.endswith(".tiktoken"):
         import base64
@@ -39,7 +44,7 @@ def counter(name: str = TOKENIZER, folder: str = VOCABULARIES) -> Callable[[str]
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         encoding = tiktoken.Encoding(name, pat_str=_pattern(folder), mergeable_ranks=ranks, special_tokens={})
-        return lambda text: len(encoding.encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
+        return lambda text: len(encoding.encode_ordinary(text))
     if name.endswith(".json"):
         from tokenizers import Tokenizer
 
