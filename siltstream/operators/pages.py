@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstream.session import spread
+
 S = T.StringType()
 HEADER = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", S), T.StructField("id", S)])
 METADATA = T.StructType(
@@ -56,7 +58,7 @@ def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", keep: tu
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = pages.select(*keep, F.col(html).alias("_html"), F.col(url).alias("_url"))
+    kept = spread(pages.select(*keep, F.col(html).alias("_html"), F.col(url).alias("_url")))
     out = T.StructType([*(kept.schema[c] for c in keep), *schema.fields])
     arrow = to_arrow_schema(schema)
 

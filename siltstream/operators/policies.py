@@ -4,7 +4,8 @@ A circuit breaker or a throttle is a fold: what an event does depends on all bef
 all events, so no task gets a key as a whole. The events are range-partitioned by key and time and cut into blocks of
 bounded size. A block is summed up as a function from the state before it to the state after it; the functions of a
 key's blocks, few and small, are applied one after the other; then every block is replayed from the state it starts
-in. Batch and streaming share the step functions.
+in. Keys that lie within one task and one block, which are most, are folded at once. Batch and streaming share the
+step functions.
 """
 
 from __future__ import annotations
@@ -140,42 +141,58 @@ def fold(events: DataFrame, policy: Breaker | Throttle, key: str, at: str, ok: s
     events = events.select(*columns)
     timed = events.filter(F.col(at).isNotNull()).withColumn("_fold_at", F.unix_micros(F.col(at).cast("timestamp")))
     timed = timed.repartitionByRange(*order).sortWithinPartitions(*order)
-    cut_schema = timed.withColumns({"_fold_block": F.lit("").cast("string"), "_fold_sum": F.lit(None).cast("string")}).schema
+    kinds = {pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int"}
+    extra = {"_fold_block": F.lit(None).cast("string"), "_fold_sum": F.lit(None).cast("string")} | {n: F.lit(None).cast(kinds[t]) for n, t in policy.outputs}
+    cut_schema = timed.withColumns(extra).schema
     key_at, time_at, ok_at = columns.index(key), len(columns), columns.index(ok) if ok else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of one key each. A key that lies in this task as a whole and in one block is folded at once."""
         import json
 
         from pyspark import TaskContext
 
-        number, held, size, held_key = 0, [], 0, None
+        number, held, size, held_key, opened = 0, [], 0, None, True
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, held, size
             rows = pa.Table.from_batches(held).combine_chunks()
             outcome = rows.column(ok_at).to_pylist() if ok_at is not None else [None] * size
-            told = json.dumps(policy.summary(rows.column(time_at).to_numpy(), outcome))
-            name = f"{TaskContext.get().partitionId():08d}-{number:08d}"
-            number, held, n, size = number + 1, [], size, 0
-            sums = pa.array([told] + [None] * (n - 1), pa.string())
-            out = rows.append_column("_fold_block", pa.array([name] * n, pa.string())).append_column("_fold_sum", sums)
-            yield from out.to_batches(max_chunksize=10_000)
-
+            n, held, size = size, [], 0
+            if whole:
+                results = fold_in_memory(policy, list(zip(rows.column(time_at).to_pylist(), outcome)))
+                names, sums = [None] * n, [None] * n
+            else:
+                told = json.dumps(policy.summary(rows.column(time_at).to_numpy(), outcome))
+                names, sums = [f"{TaskContext.get().partitionId():08d}-{number:08d}"] * n, [told] + [None] * (n - 1)
+                number, results = number + 1, [(None,) * len(policy.outputs)] * n
+            rows = rows.append_column("_fold_block", pa.array(names, pa.string())).append_column("_fold_sum", pa.array(sums, pa.string()))
+            for k, (name, kind) in enumerate(policy.outputs):
+                rows = rows.append_column(name, pa.array([r[k] for r in results], kind))
+            yield from rows.to_batches(max_chunksize=10_000)
+
+        # The first and the last key of a task may go on in the tasks beside it.
         for batch in batches:
             keys = batch.column(key_at).to_pylist()
             start = 0
             while start < batch.num_rows:
-                if held and (keys[start] != held_key or size >= block):
-                    yield from flush()
+                if held and keys[start] != held_key:
+                    yield from flush(not opened)
+                    opened = False
+                elif held and size >= block:
+                    yield from flush(False)
+                    opened = True  # what follows of this key is not its beginning
                 held_key, end = keys[start], start
                 while end < batch.num_rows and keys[end] == held_key and size + end - start < block:
                     end += 1
                 held.append(batch.slice(start, end - start))
                 size, start = size + end - start, end
         if held:
-            yield from flush()
+            yield from flush(False)
 
-    blocks = materialize(timed.mapInArrow(cut, cut_schema), "blocks")
+    folded = materialize(timed.mapInArrow(cut, cut_schema), "blocks")
+    whole = folded.filter("_fold_block IS NULL").drop("_fold_at", "_fold_block", "_fold_sum")
+    blocks = folded.filter("_fold_block IS NOT NULL").drop(*[n for n, _ in policy.outputs])
     told = blocks.filter("_fold_sum IS NOT NULL").select(F.col(key).alias("key"), "_fold_block", "_fold_sum")
 
     def chain(rows: pa.Table) -> pa.Table:
@@ -189,7 +206,6 @@ def fold(events: DataFrame, policy: Breaker | Throttle, key: str, at: str, ok: s
         return pa.table({"_fold_block": rows.column("_fold_block"), "_fold_state": pa.array(states, pa.string())})
 
     states = told.groupBy("key").applyInArrow(chain, "_fold_block string, _fold_state string")
-    kinds = {pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields), *(f"{n} {kinds[t]}" for n, t in policy.outputs)])
     plain_order = ["_fold_at", *ties, *([ok] if ok and ok not in ties else [])]
 
@@ -213,7 +229,7 @@ def fold(events: DataFrame, policy: Breaker | Throttle, key: str, at: str, ok: s
     untimed = events.filter(F.col(at).isNull())
     for name, kind in policy.outputs:
         untimed = untimed.withColumn(name, F.lit(None).cast(kinds[kind]))
-    return done.unionByName(untimed)
+    return whole.unionByName(done).unionByName(untimed)
 
 
 def fold_in_memory(policy: Breaker | Throttle, events: list[tuple[int, bool | None]]) -> list[tuple]:

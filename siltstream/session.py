@@ -74,6 +74,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for CPU-bound work on each row: dealt out to all cores where its files make fewer tasks than there are.
+
+    Only for plans without a shuffle. Tables of many files are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    tasks = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if tasks < cores else scan
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by Python workers, once a session; a cluster may have no copy of it."""
     if getattr(spark, "_siltstream_shipped", False):

@@ -71,7 +71,7 @@ def test_links():
 def test_enhanced(spark):
     df = spark.createDataFrame([("# T\n\nText [a](/b)\nmore", [(1, "T", None)], "https://h.example/p")], f"m string, h {HEADER}, u string")
     got = df.select(M.enhanced("m", "h", "u")).collect()[0][0]
-    assert got == "# T\n\n\n## Tabla de Contenidos\n\n- [T](#t)\n\nText [a](https://h.example/b)\nmore"
+    assert got == "# T\n\n\n## Tabla de Contenidos\n\n- [T](#t)\n\n\nText [a](https://h.example/b)\nmore"
 
 
 def test_frontmatter():
