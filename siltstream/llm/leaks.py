@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siltstream.llm.fmindex import FMIndex
 from siltstream.llm.looks import Looks
+from siltstream.session import spread
 
 #: Consecutive words that make a leak.
 LENGTH = 12
@@ -77,7 +78,7 @@ def leaked_spans(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame,
     asked = items.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("text IS NOT NULL")
     doc_kind, item_kind = (x.schema["id"].dataType.simpleString() for x in (corpus, asked))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, first_word bigint, last_word bigint"
-    spark, found = docs.sparkSession, []
+    spark, found, corpus = docs.sparkSession, [], spread(corpus)
     for block in _blocks(asked):
         shared = spark.sparkContext.broadcast(phrase_table(block, length))
         found.append(corpus.mapInArrow(_searcher(shared, length, schema, corpus, asked), schema))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstream.session import materialize
+from siltstream.session import materialize, spread
 
 # Characters without a visible shape (soft hyphen, joiners, marks of direction, BOM, fillers).
 INVISIBLE = (
@@ -122,7 +122,7 @@ def look_keys(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
             if batch.num_rows:
                 yield from looks.query(batch, select).to_batches()
 
-    return texts.mapInArrow(run, f"id {kind}, raw binary, form binary")
+    return spread(texts).mapInArrow(run, f"id {kind}, raw binary, form binary")
 
 
 def look_alike_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

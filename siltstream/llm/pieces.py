@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstream.session import spread
+
 #: Penalties of a cut by kind of boundary, from a named heading down to the middle of a word.
 NAMED, HEADING, BLANK, LINE, SENTENCE, WORD, ANYWHERE = 0.0, 0.1, 0.3, 0.7, 1.5, 4.0, 25.0
 #: Penalty of a cut inside a code block or table, on top.
@@ -171,4 +173,4 @@ def pieces(df: DataFrame, limits: DataFrame, id_column: str = "item_id", text_co
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(out, types))], schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return spread(texts).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstream.llm import body, leaks, looks, near, packing, pieces, repeats, residue, tokens
-from siltstream.session import materialize
+from siltstream.session import materialize, spread
 from siltstream.sources.tables import table
 
 
@@ -104,7 +104,7 @@ def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
     docs = table(spark, folder, "documents", "doc_id", "text")
     texts = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = materialize(tokens.count_tokens(texts).withColumnRenamed("key", "id"), "sized")
+    sized = materialize(tokens.count_tokens(spread(texts)).withColumnRenamed("key", "id"), "sized")
     specs = packing.capacities(table(spark, folder, "pack_specs"), "spec_name", "capacity_tokens")
     return packing.pack(sized, specs), specs
 

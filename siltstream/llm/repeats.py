@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.codes import code_points, gear, letters, parcels, segment_hashes
-from siltstream.session import materialize
+from siltstream.session import materialize, spread
 
 #: Letters and digits under the rolling hash, and the mask it must miss: chunks of about 64 letters.
 WINDOW, MASK = 16, np.uint64(63 << 20)
@@ -88,7 +88,7 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[new] + begin)), pa.array(chunk[new])], ["source", "chunk"])
 
     chunks = docs.select("source", "text").filter("source IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("source").alias("source"), "text")
-    return chunks.mapInArrow(run, "source bigint, chunk bigint").groupBy("source", "chunk").agg(F.count("*").alias("documents"))
+    return spread(chunks).mapInArrow(run, "source bigint, chunk bigint").groupBy("source", "chunk").agg(F.count("*").alias("documents"))
 
 
 def repeated_chunks(docs: DataFrame, least: int, share: float) -> DataFrame:

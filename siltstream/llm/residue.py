@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstream.session import spread
+
 NAME = r"[A-Za-zÀ-ÿ_][\wÀ-ÿ.\- ]{0,40}?"
 # The grammar of each kind of placeholder.
 DELIMITED = {
@@ -226,7 +228,7 @@ def residue(df: DataFrame, key: str, column: str, judge=residue_of_page) -> Data
 
     Null, empty and blank texts are no residue. Repeated rows are judged alike; a row gives one reason.
     """
-    texts = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")).filter("text IS NOT NULL")
+    texts = spread(df.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("text")).filter("text IS NOT NULL"))
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,7 @@ def _pattern(folder: str) -> str:
 
 def count_tokens(texts: DataFrame, name: str = TOKENIZER, folder: str = VOCABULARIES) -> DataFrame:
     """(``key``, tokens) of (key, text). The tokenizer is loaded once a task."""
+    texts = texts.select("key", "text")
     kind = texts.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,7 @@ def count_tokens(texts: DataFrame, name: str = TOKENIZER, folder: str = VOCABULA
             count = count or counter(name, folder)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(t) for t in batch.column(1).to_pylist()], pa.int64())], ["key", "tokens"])
 
-    return texts.select("key", "text").mapInArrow(run, f"key {kind}, tokens bigint")
+    return texts.mapInArrow(run, f"key {kind}, tokens bigint")
 
 
 def language_key(column: str | Column) -> Column:
