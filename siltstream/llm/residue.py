@@ -106,7 +106,7 @@ CORE = (
     r"down for (?:scheduled )?maintenance|(?:will be|we'll be|be) back (?:shortly|soon)|undergoing maintenance|estamos en mantenimiento|(?:sitio|página) en mantenimiento|volverá pronto|site en maintenance|en cours de maintenance|revient bientôt|de retour bientôt|wartungsarbeiten|wird gerade gewartet|bald wieder (?:da|zurück|verfügbar)",
     r"just a moment|verify(?:ing)? (?:that )?you are (?:a )?human|checking your browser|are you a robot|you are not a robot|prove you are human|un momento\b.{0,40}(?:comprob|verific)|(?:comprobando|comprobamos|verificando|verificamos|compruebe|confirme) (?:que|si) (?:usted |no )?es|un instant\b.{0,40}vérifi|vous n'êtes pas un robot|vous êtes (?:bien )?humain|(?:einen|ein) moment\b.{0,40}(?:prüf|überprüf)|ob sie ein mensch sind|kein roboter",
     r"(?:enable|turn on|switch on|activate|allow) (?:javascript|scripts)\b|(?:javascript|scripts) (?:is |are )?(?:disabled|turned off|switched off|switched on|required|needed)|with (?:javascript|scripts) (?:switched|turned) on|requires? javascript",
-    r"activ[ea]r? javascript|scripts desactivados|(?:permita|habilite|active) (?:los )?scripts|javascript (?:está )?desactivado|activer (?:javascript|les scripts)|autoris(?:er|ez) (?:javascript|les scripts)|activez (?:javascript|les scripts)|(?:scripts|javascript) (?:sont |est )?désactivés?|a besoin de (?:scripts|javascript)|"
+    r"activ[ea]r? javascript|scripts desactivados|(?:permita|habilite|active) (?:los )?scripts|javascript (?:está )?desactivado|activer (?:javascript|les scripts)|autoris(?:er|ez) (?:javascript|les scripts)|activez (?:javascript|les scripts)|(?:scripts|javascript) (?:sont |est )?désactivés?|a besoin de (?:scripts|javascript)|(?:blocks?|bloquea|bloque|blockiert) (?:los |les )?(?:scripts|javascript|skripte)|"
     r"javascript (?:bitte )?(?:einschalten|aktivieren|zulassen|erlauben)|skripte (?:bitte )?(?:einschalten|aktivieren|zulassen|erlauben)|braucht (?:skripte|javascript)|skripte\b.{0,30}(?:erlauben|zulassen|ausgeschaltet|deaktiviert)",
     r"session has (?:expired|timed out)|sign in again|sesión ha (?:caducado|expirado)|vuelva a identificarse|session (?:a )?expiré|reconnectez-vous|sitzung (?:ist )?abgelaufen|erneut anmelden|melden sie sich (?:erneut|neu|wieder) an",
     r"too many requests|slow down and retry|demasiadas (?:peticiones|solicitudes)|trop de requêtes|zu viele anfragen",
@@ -118,7 +118,7 @@ BESIDE = (
     r"(?:compruebe|revise|verifique) (?:que )?la dirección|vuelva (?:a la|al)|volver (?:a la|al)|pruebe con|disculpe las|lo sentimos|perdone|avise al|si (?:el problema|no ocurre)|inténtelo|gracias por su paciencia|cargando\.*|¡?vaya!?|uy|ups",
     r"vérifiez l'adresse|retour(?:nez)? à l'accueil|revenez à|utilisez la recherche|essayez (?:la|le|avec)|(?:veuillez|merci de) (?:nous excuser|patienter|réessayer)|nous excuser|désolé|si (?:le problème|rien)|prévenez|réessayez|merci de votre patience|chargement\.*|oups",
     r"(?:bitte )?(?:die adresse|prüfen sie)\b.{0,40}|(?:zurück )?zur startseite|nutzen sie die suche|(?:wir )?bitten um (?:entschuldigung|geduld)|entschuldig\w+|bleibt der fehler|schreiben sie dem|versuchen sie|danke für ihre geduld|wird geladen|laden\.*|leider|hoppla|suche (?:nutzen|verwenden)",
-    r"oops|error|whoops|\(?[\da-f]{3,16}\)?",
+    r"un momento|espere|un instant|patientez|einen moment|moment bitte|one moment|please wait|oops|error|whoops|\(?[\da-f]{3,16}\)?",
 )
 MESSAGE = re.compile("|".join(CORE), re.I)
 WHOLE_STATUS = re.compile(STATUS, re.I)
