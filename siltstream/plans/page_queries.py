@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstream.operators import assets, pages
-from siltstream.plans.crawl_queries import NETLOC
+from siltstream.operators import assets, mission, pages, report
+from siltstream.plans.crawl_queries import KIND, NETLOC, SCHEME
 from siltstream.plans.registry import query
 from siltstream.plans.text_queries import stripped_sql
 from siltstream.sources.tables import table
@@ -41,6 +41,25 @@ def link_density(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark, folder).select("item_id", F.round("link_density", 6).alias("link_density"))
 
 
+@query(rf"""WITH RECURSIVE pages AS (SELECT url, content FROM (SELECT url, content, row_number() OVER (PARTITION BY url ORDER BY item_id) AS rn FROM scraped_items) WHERE rn = 1),
+    hrefs AS (SELECT url AS page, unnest(list_append(coalesce(regexp_extract_all(content, '\[[^\[\]]*\]\(([^()\s]+)\)', 1), []), '/')) AS href FROM pages),
+    joined AS (SELECT page, string_split(CASE WHEN starts_with(href, '/') THEN {SCHEME.format('page')} || '://' || {NETLOC.format('page')} || href
+        WHEN starts_with(href, '#') THEN page ELSE href END, '#')[1] AS url FROM hrefs),
+    links AS (SELECT DISTINCT page, url FROM joined WHERE {KIND.format('url')} <> 'noise' AND {NETLOC.format('url')} = {NETLOC.format('page')}),
+    reached AS (SELECT DISTINCT url FROM scraped_items WHERE content_type = 'faq' UNION
+        SELECT l.url FROM links l JOIN reached r ON l.page = r.url WHERE {KIND.format('r.url')} = 'webpage')
+    SELECT {KIND.format('url')} AS type, CASE WHEN {KIND.format('url')} = 'asset' THEN 'pending' WHEN url IN (SELECT url FROM pages) THEN 'completed' ELSE 'failed' END AS status, count(*) AS urls
+    FROM reached GROUP BY ALL""")
+def mission_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole mission from the FAQ pages over the rendered pages: the store's histogram when nothing is pending."""
+    items = table(spark, folder, "scraped_items", "item_id", "url", "content", "content_type", "metadata")
+    first = report.first_of_each(items, "url", "item_id")
+    html = pages.rendered(first).select("url", F.lit(200).alias("status"), "html")
+    seeds = items.filter("content_type = 'faq'").select("url")
+    done = mission.run(html, mission.seeded(seeds))
+    return done.store.groupBy("type", "status").agg(F.count("*").alias("urls"))
+
+
 @query(r"""SELECT url, lower(regexp_extract(last, '^.+(\.[^.]+)$', 1)) AS extension, CASE WHEN regexp_matches(last, '^.+\.[^.]+$') THEN regexp_replace(last, '\.[^.]+$', '') ELSE last END AS stem,
     CASE WHEN lower(regexp_extract(last, '^.+(\.[^.]+)$', 1)) IN ('.pdf', '.docx', '.pptx', '.xlsx', '.md', '.txt', '.csv') THEN 'docs' ELSE 'images' END AS folder
     FROM (SELECT DISTINCT url, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS last FROM urls WHERE type = 'asset')""")
