@@ -26,7 +26,7 @@ LENGTH = 12
 #: Words of a shard: bounds a task's memory, whatever the size of its partition.
 SHARD_WORDS = 1_000_000
 #: Words of evaluation texts in one pass; more are searched in further passes, each over the whole corpus.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 
 WORD = re.compile(r"[^\W_]+")
 #: Tags and the targets of links stand between words and are not words of the text.

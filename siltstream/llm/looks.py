@@ -133,11 +133,12 @@ def look_alike_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFra
     """
     keys = materialize(look_keys(df, id_column, text_column), "looks")
     # First (form, raw) with partial aggregation, so a hot text is one row per task before the shuffle.
-    several = (
-        keys.groupBy("form", "raw").agg(F.lit(1).alias("one")).groupBy("form").agg(F.count("*").alias("stored"))
-        .filter("stored > 1").select("form")
-    )
-    mixed = keys.join(several, "form", "left_semi")
-    a = mixed.select("form", F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    b = mixed.select("form", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "form").filter("id_a < id_b AND raw_a <> raw_b").select("id_a", "id_b")
+    stored = materialize(keys.groupBy("form", "raw").agg(F.count("*").alias("copies")), "stored")
+    several = stored.groupBy("form").agg(F.count("*").alias("forms")).filter("forms > 1").select("form")
+    variants = stored.join(several, "form", "left_semi").select("form", "raw")
+    # Pairs of stored forms, which are few, and only then their members: no copies are ever set against each other.
+    x, y = variants.select("form", F.col("raw").alias("raw_x")), variants.select("form", F.col("raw").alias("raw_y"))
+    unlike = x.join(y, "form").filter("raw_x < raw_y").select("raw_x", "raw_y")
+    rows = unlike.join(keys.select(F.col("raw").alias("raw_x"), F.col("id").alias("x")), "raw_x")
+    rows = rows.join(keys.select(F.col("raw").alias("raw_y"), F.col("id").alias("y")), "raw_y")
+    return rows.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
