@@ -50,6 +50,17 @@ def page_record(html: str | None, url: str | None) -> dict:
     return record
 
 
+CLEAN = T.StructType([T.StructField("html", S), T.StructField("size", T.LongType())])
+
+
+def clean_record(html: str | None, url: str | None) -> dict:
+    """Another extractor: the cleaned HTML, and its length in characters."""
+    from siltstream.html.clean import clean_html
+
+    out = clean_html(html)
+    return {"html": out, "size": len(out)}
+
+
 def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = (), extractor: Extractor = page_record, schema: T.StructType = PAGE) -> DataFrame:
     """The columns ``keep`` and those of ``schema``, which ``extractor`` reads from each page.
 

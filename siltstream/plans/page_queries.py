@@ -25,6 +25,13 @@ def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark, folder).select("item_id", m + "url", m + "title", m + "author", m + "sitename", m + "description", F.array_join(m + "keywords", ";").alias("keywords"))
 
 
+@query()
+def html_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned HTML of every page."""
+    items = table(spark, folder, "scraped_items", "item_id", "url", "content", "metadata")
+    return pages.parse_pages(pages.rendered(items), keep=("item_id",), extractor=pages.clean_record, schema=pages.CLEAN)
+
+
 @query()
 def page_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark, folder).select("item_id", "engine", "markdown")

@@ -102,13 +102,14 @@ def jsonld_first(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("item_id", parsed.isNotNull().alias("parses"), F.try_variant_get(parsed, "$.inLanguage", "string").alias("language"))
 
 
-@query("""SELECT item_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) ELSE printf('%.2f MB', n / 1048576.0) END AS size,
+@query("""SELECT item_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0)
+    WHEN n < 1099511627776 THEN printf('%.2f GB', n / 1073741824.0) ELSE printf('%.2f TB', n / 1099511627776.0) END AS size,
     CASE WHEN n < 10485760 THEN 'small' WHEN n < 52428800 THEN 'medium' ELSE 'large' END AS tier, CASE WHEN n >= 52428800 THEN 'mmap' WHEN n > 10485760 THEN 'streaming' ELSE 'direct' END AS strategy
-    FROM (SELECT item_id, strlen(content)::BIGINT * 4096 AS n FROM scraped_items WHERE content IS NOT NULL) WHERE n < 1073741824""")
+    FROM (SELECT item_id, strlen(content)::BIGINT * 4096 AS n FROM scraped_items WHERE content IS NOT NULL)""")
 def size_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes in words, tiers and ways of writing, of contents taken as blocks of 4 KB."""
     items = table(spark, folder, "scraped_items", "item_id", "content").filter("content IS NOT NULL")
-    sized = items.select("item_id", (F.octet_length("content").cast("long") * 4096).alias("n")).filter("n < 1073741824")
+    sized = items.select("item_id", (F.octet_length("content").cast("long") * 4096).alias("n"))
     return sized.select("item_id", X.human_size("n").alias("size"), X.size_tier("n").alias("tier"), X.write_strategy("n").alias("strategy"))
 
 

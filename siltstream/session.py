@@ -77,11 +77,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def spread(scan: DataFrame) -> DataFrame:
     """A scan for CPU-bound work on each row: dealt out to all cores where its files make fewer tasks than there are.
 
-    Only for plans without a shuffle. Tables of many files are left as they are.
+    Plans with a shuffle are left to AQE, and tables of many files as they are.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    tasks = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan.repartition(cores) if tasks < cores else scan
+    cores, plan = scan.sparkSession.sparkContext.defaultParallelism, scan._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return scan
+    return scan.repartition(cores) if plan.toRdd().getNumPartitions() < cores else scan
 
 
 def ship_package(spark: SparkSession) -> None:

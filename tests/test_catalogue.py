@@ -49,5 +49,11 @@ def test_query(spark, tables, db, name):
         assert len(got.columns)
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"mission_rounds", "frontier_reach"}))
+def test_plans_have_no_product(spark, tables, name):
+    plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_repair_restores_every_text(spark, tables):
     assert QUERIES["repair_text"](spark, tables).filter("NOT restored").count() == 0
