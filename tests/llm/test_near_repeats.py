@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -73,6 +74,54 @@ def test_pairs_equal_brute_force(spark, width, threshold, least):
     assert got == by_hand(rows, width, threshold, least) and len(got) > 20
 
 
+def test_half_boilerplate_versions_equal_brute_force(spark):
+    """40 versions a site whose texts are mostly what the site repeats, at a Jaccard index of 0.60 to 0.65."""
+    rng, rows = random.Random(5), []
+    for site in range(6):
+        common = [f"s{site}c{i}" for i in range(182)]
+        body = [f"s{site}b{i}" for i in range(118)]
+        for version in range(40):
+            own = list(body)
+            for at in rng.sample(range(0, 117), 14):
+                own[at] = f"s{site}v{version}w{at}"
+            rows.append((len(rows), " ".join(common + own)))
+    df = spark.createDataFrame(rows, "item_id bigint, content string")
+    pairs, members = near.near_duplicates(df, "item_id", "content", width=3, threshold=0.6, least_words=60)
+    got = {(r.id_a, r.id_b) for r in near.direct_pairs(pairs, members).collect()}
+    wanted = by_hand(rows, 3, 0.6, 60)
+    assert got == wanted and len(wanted) > 1_000
+
+
+def drawn(rng, size, common, jaccard, k):
+    """Two sketches, and which of their values are common, of sets that share all of the common ones."""
+    both, shared = round(2 * jaccard * size / (1 + jaccard)), round(common * size)
+    values = rng.permutation(np.unique(rng.integers(-(2**62), 2**62, 2 * size - both)))
+    heavy, ends = set(values[:shared].tolist()), (values[:size], np.r_[values[:both], values[size:]])
+    for kept in (np.sort(v)[:k] for v in ends):
+        yield kept, np.array([v in heavy for v in kept.tolist()])
+
+
+@pytest.mark.parametrize("common", [0.1, 0.35, 0.55, 0.61, 0.7])
+def test_near_duplicates_share_a_key_at_any_share_of_common_values(common):
+    rng, missed = np.random.default_rng(3), 0
+    for _ in range(400):
+        (x, heavy_x), (y, heavy_y) = drawn(rng, 300, common, 0.61, near.K)
+        missed += not len(np.intersect1d(near.keys_of(x, heavy_x, 300, 0.6), near.keys_of(y, heavy_y, 300, 0.6)))
+    assert missed == 0
+
+
+def test_short_near_duplicates_share_a_key():
+    rng = np.random.default_rng(4)
+    for size in range(2, near.SHORT + 1):
+        for _ in range(20):
+            other = rng.integers(math.ceil(0.6 * size), size + 1)
+            both = math.ceil(0.375 * (size + other) - 1e-9)
+            values = rng.permutation(rng.integers(-(2**62), 2**62, size + other))
+            x, y = np.sort(values[:size]), np.sort(np.r_[values[:both], values[size : size + other - both]])
+            none = lambda v: np.zeros(len(v), bool)
+            assert len(np.intersect1d(near.keys_of(x, none(x), len(x), 0.6), near.keys_of(y, none(y), len(y), 0.6)))
+
+
 def test_classes(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, "item_id bigint, content string")
