@@ -28,7 +28,7 @@ Extractor = Callable[[str | None, str | None], dict]
 
 
 def page_record(html: str | None, url: str | None) -> dict:
-    """What is read from one page. Metadata and links come from the page as it is, text from the cleaned page."""
+    """What is read from one page. Metadata and links come from the page as it is, text from the capped, cleaned page."""
     from siltstream.html.clean import capped, link_density, prune_links, remove_furniture, sanitize
     from siltstream.html.convert import extract
     from siltstream.html.dom import parse
@@ -36,13 +36,16 @@ def page_record(html: str | None, url: str | None) -> dict:
 
     if not html:
         return {"metadata": None, "markdown": "", "engine": "none", "links": [], "images": [], "link_density": 0.0}
-    root = parse(capped(html))
+    root = parse(html)
     record = {
         "metadata": metadata(root, url),
         "links": [n.attrs["href"] for n in root.find_all("a") if n.attrs.get("href")],
         "images": [n.attrs["src"] for n in root.find_all("img") if n.attrs.get("src")],
         "link_density": link_density(root),
     }
+    short = capped(html)
+    if len(short) < len(html):
+        root = parse(short)
     remove_furniture(root)
     prune_links(root)
     sanitize(root)

@@ -73,6 +73,18 @@ def test_metadata():
     assert (bare["title"], bare["author"], bare["date"], bare["sitename"], bare["json_ld"]) == ("Documento", "Desconocido", "N/A", "h.example", None)
 
 
+def test_only_the_text_of_a_long_page_is_capped():
+    from siltstream.html import clean
+
+    html = "<a href='/first'>first</a><p>" + "long text. " * 500_000 + "</p><h2>Late</h2><a href='/last'>last</a><img src='/last.png'><script type='application/ld+json'>{}</script>"
+    assert len(html) > clean.LONGEST_HTML
+    record = page_record(html, "u")
+    assert record["links"] == ["/first", "/last"] and record["images"] == ["/last.png"]
+    assert record["metadata"]["headers"] == [{"level": 2, "text": "Late", "id": None}] and record["metadata"]["json_ld"] == "{}"
+    assert record["link_density"] == link_density(parse(html))
+    assert "/first" in record["markdown"] and "Late" not in record["markdown"] and len(record["markdown"]) <= clean.LONGEST_HTML
+
+
 def test_page_pass(spark):
     rows = [(1, "https://h.example/", FULL), (2, None, None), (3, "https://h.example/", ""), (4, "u", "<p>" + "long text. " * 20_000 + "</p>")]
     df = spark.createDataFrame(rows, "n int, url string, html string")
