@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siltstream.functions.urls import admissible, in_scope, link_kind, resolved
 from siltstream.session import materialize
 
+#: Rounds whose tables are read side by side before they are written as one.
+TOGETHER = 20
+
 _MARKDOWN_LINK = r"\]\(([^()\s]+)\)"
 _HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']+)["']"""
 _SRC = r"""(?i)<img\b[^>]*?\ssrc\s*=\s*["']([^"']+)["']"""
@@ -46,20 +49,21 @@ def new_urls(found: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.join(known.select("url").distinct(), "url", "left_anti")
 
 
-def reach(graph: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
+def reach(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """(url, depth): everything that (src, dst) links lead to from the seeds, by rounds until nothing is new.
 
-    A round is one join with the last round's pages and one anti join with all; each is written, so the plan does
-    not grow, and only a row count comes back.
+    A round is one join with the last round's pages and one anti join with all. Each is written, and every
+    TOGETHER rounds all are written as one table, so the plan does not grow with the depth.
     """
     graph = materialize(graph.select("src", "dst").distinct(), "graph")
     seen = materialize(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "reach")
     last, depth = seen, 0
-    while depth < most_rounds:
+    while True:
         depth += 1
         step = graph.join(last.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         last = materialize(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if last.isEmpty():
-            break
+            return seen
         seen = seen.unionAll(last)
-    return seen
+        if depth % TOGETHER == 0:
+            seen = materialize(seen, "reach")

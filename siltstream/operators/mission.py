@@ -35,17 +35,18 @@ def seeded(seeds: DataFrame) -> DataFrame:
     return state.insert_ignore(empty, rows, F.lit(0))[0]
 
 
-def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, scope: str = "smart", most_rounds: int = 50, most_retries: int = 3) -> Mission:
+def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, scope: str = "smart", most_retries: int = 3) -> Mission:
     """Crawl ``pages`` (url, status, html) from the pending addresses of ``store``.
 
     An address without a page fails as not found. Forbidden ones become ``skipped_robots``; challenge pages and error
     responses fail with a retry counted, so they are tried again in the next rounds while tries are left. Every page is
-    taken once an address; of repeated rows any one.
+    taken once an address; of repeated rows any one. Rounds go on until nothing is pending: each address that is taken
+    is completed, skipped or has a try less.
     """
     pages = materialize(pages.dropDuplicates(["url"]), "pages")
     store, items, rounds = materialize(store, "store"), None, 0
     rules = robots if robots is not None else pages.sparkSession.createDataFrame([], "origin string, status int, body string")
-    while rounds < most_rounds:
+    while True:
         waiting = state.pending(store, "webpage", most_retries).select("url")
         if waiting.isEmpty():
             break
@@ -61,6 +62,8 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
         parsed = materialize(parse_pages(good, keep=("url",)), "parsed")
         new_items = parsed.select("url", "metadata.title", "markdown", "engine")
         items = new_items if items is None else items.unionAll(new_items)
+        if rounds % frontier.TOGETHER == 0:
+            items = materialize(items, "items")
         found = frontier.triage(frontier.edges(parsed, "url", F.concat("links", "images")), scope)
         fresh = found.select("url", F.lit("pending").alias("status"), F.col("kind").alias("type"), F.lit(0).alias("retries")).distinct()
         done = F.when(F.col("error").isNull(), "completed").when(F.col("error") == "robots", "skipped_robots").otherwise("failed")

@@ -1,5 +1,5 @@
 from siltstream.functions import sql
-from siltstream.operators import mission
+from siltstream.operators import frontier, mission
 
 PAGES = [
     ("https://h.example/", 200, "<title>Home</title><a href='/a'>a</a><a href='/b'>b</a><a href='/secret/x'>s</a><img src='/i.png'>"),
@@ -22,6 +22,17 @@ def test_rounds_to_the_end(spark):
     assert done.rounds == 5
 
 
+def test_chains_longer_than_fifty_links(spark):
+    name = "https://h.example/{}".format
+    seeds = spark.createDataFrame([(name(0),)], "url string")
+    graph = spark.createDataFrame([(name(k), name(k + 1)) for k in range(52)], "src string, dst string").coalesce(1)
+    assert {r.url: r.depth for r in frontier.reach(graph, seeds).collect()} == {name(k): k for k in range(53)}
+    pages = spark.createDataFrame([(name(k), 200, f"<p>page {k}</p>" + f"<a href='/{k + 1}'>next</a>" * (k < 51)) for k in range(52)], "url string, status int, html string").coalesce(1)
+    done = mission.run(pages, mission.seeded(seeds))
+    assert {(r.url, r.status) for r in done.store.collect()} == {(name(k), "completed") for k in range(52)}
+    assert done.items.count() == 52 and done.rounds == 52
+
+
 def test_nothing_to_do(spark):
     pages = spark.createDataFrame([], "url string, status int, html string")
     done = mission.run(pages, mission.seeded(spark.createDataFrame([], "url string")))
