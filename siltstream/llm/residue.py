@@ -125,15 +125,15 @@ WHOLE_STATUS = re.compile(STATUS, re.I)
 ALONG = re.compile(r"[\W_]*(?:" + "|".join(BESIDE) + ")", re.I)
 HTML = re.compile(r"<(?:!doctype|html|head|body|title|center|div|h[1-6]|p|script|meta)\b", re.I)
 FETCH = re.compile(r"(?:https?|http/\d\S*)\s\d{3}\b(?:\W*\w+){0,5}\W*$", re.I)
-#: Characters of the longest server message, and words of its longest sentence.
-MESSAGE_CHARS, MESSAGE_WORDS = 1200, 45
+#: Words of the longest sentence of a server message.
+MESSAGE_WORDS = 45
 UNIT = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
 def is_message(text: str) -> bool:
     """Whether the page is nothing but a message of a server."""
     stripped = text.strip()
-    if not stripped or len(stripped) > MESSAGE_CHARS:
+    if not stripped:
         return False
     found = False
     lines = [line.strip() for line in stripped.split("\n") if line.strip()]

@@ -119,6 +119,13 @@ def test_residue_of_pages(reason, text):
     assert residue.residue_of_page(text) == reason
 
 
+def test_long_pages_of_messages_alone():
+    notice = "Please enable JavaScript to continue using Site.\n\nVotre navigateur bloque les scripts.\n\nActive los scripts.\n\nBitte JavaScript aktivieren.\n\n"
+    page = "# Site\n\n" + notice * 12
+    assert len(page) > 1200 and residue.residue_of_page(page) == "message" and body.outside(page) == []
+    assert residue.residue_of_page(page + "The mill by the river has stood for two hundred years.") is None
+
+
 ERRORS = {
     None: ["Unknown", "HTTP 503 Service Unavailable", "HTTP 404 Not Found  ", "Timeout after 300 ms", "api answered {\"code\": 5, \"id\": \"a1\"}", "JavaScript engine crashed on /x", "Template engine error: variable 'title' missing in /x", "robots.txt disallows /x", "Respuesta vacía del servidor", "Conversion failed [step 3] for /x", "", None],
     "placeholder": ["HTTP %d on %s", "[ERROR_MESSAGE]", "Error: undefined", "Failed: {{ reason }}", "HTTP ${status} from h.example", "ERROR {EXC} WHILE FETCHING {URL}", "%(name)s: %(detail)s", "__ERR_TEXT__ (a1)"],
