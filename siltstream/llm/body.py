@@ -2,7 +2,7 @@
 
 1. Each line that is not blank is a leaf with its text (the labels of links weigh nothing) and its punctuation.
    Leaves of one list, table, quote, code block or wrapped paragraph are one node.
-2. Prose nodes whose text and punctuation reach a share of what the page's prose has, and lists of whole phrases,
+2. Prose whose text and punctuation reach a share of what the page has, lists of whole phrases, tables and code
    span the article: nodes are before its title, in it, or behind it. A heading, the lines under the title and a
    line that ends in a colon are labels, which weigh as much as what they introduce.
 3. A node's root-to-leaf path is (part of the page, kind of node, share of links, how it ends, worded or not). Text
@@ -122,7 +122,7 @@ def nodes_of(found: Iterator[Leaf]) -> list[Node]:
 
 
 def article_nodes(nodes: list[Node]) -> list[int]:
-    """Places of the nodes that are prose or lists of phrases by their own text, and so span the article."""
+    """Places of the nodes that are prose, lists of phrases, tables or code by their own text, and so span the article."""
     prose = [i for i, n in enumerate(nodes) if n.head.kind in ("line", "quote", "item") and n.ending == "sentence" and n.head.links != "only" and not n.head.worded]
     if not prose:
         return []
@@ -130,6 +130,10 @@ def article_nodes(nodes: list[Node]) -> list[int]:
     mean = sum(fused[i] * nodes[i].size for i in prose) / max(1.0, sum(nodes[i].size for i in prose))
     found = {i for i in prose if nodes[i].head.kind != "item" and fused[i] >= min(PROSE, PROSE_SHARE * mean)}
     for i, node in enumerate(nodes):
+        if node.head.kind in ("table", "code") and i > min(prose):
+            found.add(i)
+        if node.head.kind in ("item", "quote") and node.ending == "sentence" and node.head.links == "none" and not node.head.worded and i - 1 in found:
+            found.add(i)  # listed or quoted sentences that follow the article's own text
         if node.head.kind == "item" and node.head.links == "none" and node.size >= max(LIST, PHRASE * len(node.leaves)):
             found.add(i)
         if node.head.kind == "item" and node.head.links == "some" and node.size >= ANNOTATED * len(node.leaves):
@@ -150,11 +154,6 @@ def parts_of(nodes: list[Node], article: list[int]) -> tuple[list[str], int]:
     title = next((i for i in heads if nodes[i].head.level == 1), heads[0] if heads else article[0])
     last = article[-1]
     parts = ["before" if i < title else "article" if i <= last else "behind" for i in range(len(nodes))]
-    for i in range(last + 1, len(nodes)):
-        if nodes[i].head.kind in ("table", "code"):
-            parts[i] = "article"
-            if nodes[i - 1].ending == "colon" and not nodes[i - 1].head.worded:
-                parts[i - 1] = "article"
     return parts, title
 
 
@@ -222,7 +221,8 @@ def outside(text: str | None, wording: bool = True) -> list[int]:
         ending = node.ending if head.kind in ("line", "quote", "item") else ""
         paths.append((part, "label" if label else head.kind, head.links, ending, head.worded))
     fused = ratios(paths, own, nodes)
-    least = SHARE * max((fused[paths[i]] for i in article), default=max(fused.values()))
+    own_text = [fused[paths[i]] for i in article if nodes[i].head.kind not in ("table", "code")]
+    least = SHARE * max(own_text, default=max(fused.values()))
     return [leaf.number for path, node in zip(paths, nodes) if fused[path] < least for leaf in node.leaves]
 
 
