@@ -6,6 +6,16 @@ from siltstream.llm.leaks import MARKUP
 from siltstream.llm.looks import looks_sql
 
 
+REPEATED_LINES = r"""
+    WITH s AS (SELECT item_id, content, CASE WHEN starts_with(lower(domain), 'www.') THEN substr(lower(domain), 5) ELSE lower(domain) END AS site FROM scraped_items WHERE domain IS NOT NULL),
+    l AS (SELECT item_id, site, line_no, regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g') AS key
+        FROM (SELECT item_id, site, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM s)),
+    t AS (SELECT site, count(*) AS total FROM s GROUP BY site),
+    k AS (SELECT site, key, count(DISTINCT item_id) AS n FROM l WHERE key <> '' GROUP BY ALL),
+    found AS (SELECT l.item_id, l.line_no FROM l JOIN k USING (site, key) JOIN t USING (site) WHERE k.n >= 5 AND k.n >= 0.15 * t.total)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     form = looks_sql("text")
     markup = MARKUP.pattern
@@ -14,13 +24,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT i.item_id FROM scraped_items i JOIN split_limits l
             ON l.content_type = CASE WHEN i.content_type IN (SELECT content_type FROM split_limits) THEN i.content_type ELSE 'text' END
             WHERE CASE WHEN l.size_unit = 'bytes' THEN strlen(i.content) ELSE length(i.content) END > l.max_size""",
-        "p5_found": r"""
-            WITH s AS (SELECT item_id, content, CASE WHEN starts_with(lower(domain), 'www.') THEN substr(lower(domain), 5) ELSE lower(domain) END AS site FROM scraped_items WHERE domain IS NOT NULL),
-            l AS (SELECT item_id, site, line_no, regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g') AS key
-                FROM (SELECT item_id, site, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM s)),
-            t AS (SELECT site, count(*) AS total FROM s GROUP BY site),
-            k AS (SELECT site, key, count(DISTINCT item_id) AS n FROM l WHERE key <> '' GROUP BY ALL)
-            SELECT l.item_id, l.line_no FROM l JOIN k USING (site, key) JOIN t USING (site) WHERE k.n >= 5 AND k.n >= 0.15 * t.total""",
+        "p5_found": REPEATED_LINES + "SELECT item_id, line_no FROM found",
+        "p5_cleaned": REPEATED_LINES + """, g AS (SELECT item_id, list(line_no) AS gone FROM found GROUP BY item_id)
+            SELECT i.item_id, CASE WHEN gone IS NULL THEN content
+                ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda line, n: NOT list_contains(gone, n)), chr(10)) END AS cleaned,
+                CAST(coalesce(len(gone), 0) AS INTEGER) AS lines_cut
+            FROM scraped_items i LEFT JOIN g USING (item_id)""",
         "p8_found": rf"""
             WITH d AS (SELECT doc_id AS id, {form} AS text FROM documents), e AS (SELECT eval_id AS id, {form} AS text FROM eval_items),
             dw AS (SELECT id, regexp_extract_all(lower(regexp_replace(text, '{markup}', ' ', 'g')), '[\p{{L}}\p{{N}}]+') AS w FROM d),

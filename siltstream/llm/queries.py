@@ -90,6 +90,12 @@ def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.without_lines(items, "item_id", "content", cut).withColumnRenamed("id", "item_id")
 
 
+def p5_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages, however wrapped, that a domain repeats in its items."""
+    items = table(spark, folder, "scraped_items", "item_id", "domain", "content")
+    return repeats.repeated_passages(items, "item_id", "domain", "content").withColumnRenamed("id", "item_id")
+
+
 def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of documents by source, language and domain, and of scraped_items by domain."""
     docs = table(spark, folder, "documents", "text", "lang", "source", "domain")
@@ -144,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_cleaned": p5_cleaned,
+        "p5_passages": p5_passages,
         "p6_totals": p6_totals,
         "p7_packed": p7_packed,
         "p7_fill": p7_fill,

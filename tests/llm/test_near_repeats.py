@@ -204,3 +204,35 @@ def test_chunks_do_not_depend_on_what_is_around():
     one = a.chunk_hash[a.chunk_line == 1].tolist()
     two = b.chunk_hash[b.chunk_line == 1].tolist()
     assert one == two and len(one) > 1 and repeats.Chunked([""]).line_no.tolist() == []
+
+
+def wrapped(words, rng):
+    out = words[0]
+    for w in words[1:]:
+        out += rng.choice([" ", " ", " ", "\n", "  "]) + w
+    return out
+
+
+def test_passages_however_wrapped(spark):
+    rng = random.Random(5)
+    notice = [f"{w}{k}" for k, w in enumerate("this notice stands in every document of the site and is wrapped as the page is wide".split() * 3)]
+    letters = lambda t: re.sub(r"[\W_]+", "", t)
+    rows = []
+    for i in range(60):
+        own = [f"word{rng.random()}" for _ in range(rng.randint(30, 60))]
+        at = rng.randint(5, 25)
+        middle = wrapped(notice, rng) if i % 2 else ""
+        # The notice may begin and end within a line.
+        rows.append((i, "www.A.example" if i % 3 else "a.example", f"{' '.join(own[:at])} {middle} {' '.join(own[at:])}"))
+    rows += [(100, None, " ".join(notice)), (101, "a.example", None), (102, "a.example", ""), (103, "b.example", " ".join(notice))]
+    df = spark.createDataFrame(rows, "item_id bigint, domain string, content string")
+    found = {}
+    for r in repeats.repeated_passages(df, "item_id", "domain", "content").collect():
+        found.setdefault(r.id, []).append((r.first_char, r.last_char))
+    text = {i: t for i, _, t in rows}
+    assert set(found) == {i for i in range(60) if i % 2}
+    whole = letters("".join(notice))
+    for i, spans in found.items():
+        got = "".join(letters(text[i][a : b + 1]) for a, b in spans)
+        assert got in whole and len(got) > 0.5 * len(whole)
+    assert repeats.repeated_passages(df.limit(0), "item_id", "domain", "content").count() == 0
