@@ -133,7 +133,8 @@ def _kept(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """The ``rows`` whose ``keys`` are among the ``wanted``, of which each is sent to SALTS places."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     copies = wanted.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(copies, [*keys, "salt"], "left_semi").drop("salt")
+    # The copies grow with the data, so they are never broadcast.
+    return salted.join(copies.hint("merge"), [*keys, "salt"], "left_semi").drop("salt")
 
 
 def repeated_lines(df: DataFrame, id_column: str, source_column: str, text_column: str, least: int = 5, share: float = 0.15) -> DataFrame:
