@@ -71,6 +71,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id_a").alias("item_id_a"), F.col("id_b").alias("item_id_b"))
 
 
+def p4_linked(spark: SparkSession, folder: str) -> DataFrame:
+    """The links of ``p4_found`` between different texts, each text by its representative (the least id of its copies)."""
+    items = table(spark, folder, "scraped_items", "item_id", "content")
+    pairs, _ = near.near_duplicates(items, "item_id", "content", width=3, threshold=0.6, least_words=60)
+    return pairs.select(F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"), "jaccard")
+
+
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The representative of every item with at least 60 words: with ``p4_linked``, all that ``p4_found`` says."""
+    items = table(spark, folder, "scraped_items", "item_id", "content")
+    _, members = near.near_duplicates(items, "item_id", "content", width=3, threshold=0.6, least_words=60)
+    return members.select(F.col("id").alias("item_id"), F.col("rep").alias("representative"))
+
+
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near-duplicates by the usual five words and 0.8: every item with its class."""
     items = table(spark, folder, "scraped_items", "item_id", "content")
@@ -147,6 +161,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p4_found": p4_found,
+        "p4_linked": p4_linked,
+        "p4_members": p4_members,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p5_cleaned": p5_cleaned,

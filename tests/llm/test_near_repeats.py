@@ -236,3 +236,28 @@ def test_passages_however_wrapped(spark):
         got = "".join(letters(text[i][a : b + 1]) for a, b in spans)
         assert got in whole and len(got) > 0.5 * len(whole)
     assert repeats.repeated_passages(df.limit(0), "item_id", "domain", "content").count() == 0
+
+
+def test_template_lists_are_split(spark):
+    """Thousands of texts of one template, some in near-duplicate families: short lists, and no pair lost."""
+    rng, rows, family = np.random.default_rng(11), [], {}
+    template = [f"t{k}" for k in range(90)]
+    for f in range(1_500):
+        own = [f"f{f}w{k}" for k in range(90)]
+        for version in range(4):
+            words = list(own)
+            for at in rng.choice(90, 3, replace=False):
+                words[at] = f"f{f}v{version}x{at}"
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(template + words)))
+    df = spark.createDataFrame(rows, "item_id bigint, content string").repartition(8)
+    kept = near.sketches(df.select("item_id", "content").toDF("id", "text"), 3, 60).cache()
+    for most in (50, 500):
+        tables = near.inverted_lists(kept, np.zeros(0, np.int64), 0.6, most)
+        assert len(tables) > 1
+        assert max(t.groupBy("key").count().agg({"count": "max"}).first()[0] or 0 for t in tables) <= most
+    pairs, members = near.near_duplicates(df, "item_id", "content", width=3, threshold=0.6, least_words=60, most=50)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    wanted = {p for f in range(0, len(rows), 4) for p in by_hand(rows[f : f + 4], 3, 0.6, 60)}
+    assert got == wanted and len(wanted) > 8_000
+    assert members.filter("id <> rep").count() == 0
