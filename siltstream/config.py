@@ -56,8 +56,8 @@ def load(custom: str | Path | None = None) -> Settings:
         data = yaml.safe_load(path.read_text()) or {}
     known = {f.name for f in fields(Settings)}
     settings = Settings(**{k: v for k, v in data.items() if k in known})
-    if "SCRAPER_DATA_DIR" in os.environ:
-        settings = replace(settings, data_dir=os.environ["SCRAPER_DATA_DIR"])
-    if "SCRAPER_MAX_WORKERS" in os.environ:
-        settings = replace(settings, default_workers=int(os.environ["SCRAPER_MAX_WORKERS"]))
+    if "SILTSTREAM_DATA_DIR" in os.environ:
+        settings = replace(settings, data_dir=os.environ["SILTSTREAM_DATA_DIR"])
+    if "SILTSTREAM_MAX_WORKERS" in os.environ:
+        settings = replace(settings, default_workers=int(os.environ["SILTSTREAM_MAX_WORKERS"]))
     return replace(settings, data_dir=os.path.expandvars(os.path.expanduser(str(settings.data_dir))))

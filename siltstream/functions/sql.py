@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from siltstream.functions.text import repair_text
-from siltstream.functions.urls import join_url, normalize_url, slugify
+from siltstream.functions.urls import join_url, normalize_one, slugify
 
 
 @udtf(returnType="href string, kind string")
@@ -30,6 +30,6 @@ class PageLinks:
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL: slugify, normalize_url, join_url, repair_text, and the table page_links."""
-    for name, function in {"slugify": slugify, "normalize_url": normalize_url, "join_url": join_url, "repair_text": repair_text}.items():
+    for name, function in {"slugify": slugify, "normalize_url": normalize_one, "join_url": join_url, "repair_text": repair_text}.items():
         spark.udf.register(name, function)
     spark.udtf.register("page_links", PageLinks)

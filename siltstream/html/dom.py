@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 # Fixed values of the HTML standard: elements without content, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -18,10 +18,23 @@ CLOSES = {
 BLOCKS = frozenset(
     "address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul body html".split()
 )
+#: Open elements at once; deeper ones become siblings.
+DEEPEST = 2_000
+
+# A comment, declaration or instruction; an end tag; a start tag. Possessive, so a quote left open costs one look ahead.
+_TOKEN = re.compile(
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|/([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)
+    |([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)>)""",
+    re.S | re.X,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""", re.S)
+# An element closed where it opens; the slash of a value without quotes is part of it.
+_EMPTY = re.compile(r"""(?:^|[\s"'/])/\Z""")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "measure")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None") -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -33,7 +46,8 @@ class Node:
         while todo:
             node = todo.pop()
             yield node
-            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            if node.children:
+                todo.extend([c for c in reversed(node.children) if type(c) is Node])
 
     def find_all(self, *tags: str) -> list["Node"]:
         return [n for n in self.walk() if n.tag in tags and n is not self]
@@ -55,62 +69,66 @@ class Node:
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
-    def attached(self, root: "Node") -> bool:
-        node: Node | None = self
-        while node is not None and node is not root:
-            node = node.parent
-        return node is root
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-        self.depth = 0
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in CLOSES:
-            self._close(*CLOSES[tag])
-        if tag in BLOCKS and self.at.tag == "p":
-            self.at = self.at.parent or self.root
-        node = Node(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID and self.depth < 2_000:
-            self.at = node
-            self.depth += 1
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.children.append(Node(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.at))
-
-    def _close(self, tags: set[str], stop: set[str]) -> None:
-        node, last = self.at, None
+
+def _attributes(source: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(source):
+        value = double or single or bare
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
+
+
+def _opened(at: Node, tag: str) -> Node:
+    """Where an element ``tag`` that opens at ``at`` goes, after it has closed what it closes."""
+    if tag in CLOSES:
+        tags, stop = CLOSES[tag]
+        node, last = at, None
         while node.parent is not None and node.tag not in stop:
             if node.tag in tags:
                 last = node
             node = node.parent
-        if last is not None:
-            self.at = last.parent or self.root
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            # An inline end tag does not reach over a block that holds it.
-            if node.tag in BLOCKS and tag not in BLOCKS:
-                return
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-            self.depth = max(0, self.depth - 1)
+        at = last.parent if last is not None else at
+    return at.parent if tag in BLOCKS and at.tag == "p" else at
+
 
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+def _closed(at: Node, tag: str) -> Node:
+    """Where to go on after an end tag: an inline one does not reach over a block that holds it."""
+    node, inline = at, tag not in BLOCKS
+    while node.parent is not None and node.tag != tag:
+        if inline and node.tag in BLOCKS:
+            return at
+        node = node.parent
+    return node.parent or at
 
 
 def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
+    root = at = Node("#root", {}, None)
+    place, depth = 0, 0
+    while True:
+        found = _TOKEN.search(html, place)
+        text = html[place : found.start() if found else len(html)]
+        if text:
+            at.children.append(unescape(text) if "&" in text else text)
+        if not found:
+            return root
+        place = found.end()
+        end, start, attributes = found.groups()
+        if end:
+            after = _closed(at, end.lower())
+            depth -= after is not at
+            at = after
+        elif start:
+            tag = start.lower()
+            at = _opened(at, tag)
+            node = Node(tag, _attributes(attributes) if attributes else {}, at)
+            at.children.append(node)
+            if tag in RAW:
+                close = _RAW_END[tag].search(html, place)
+                if inner := html[place : close.start() if close else len(html)]:
+                    node.children.append(inner)
+                place = close.end() if close else len(html)
+            elif tag not in VOID and depth < DEEPEST and not _EMPTY.search(attributes):
+                at, depth = node, depth + 1
 
 
 def serialize(node: Node) -> str:
@@ -126,7 +144,7 @@ def serialize(node: Node) -> str:
             out.append(f"<{x.tag}>{''.join(c for c in x.children if isinstance(c, str))}</{x.tag}>")
         else:
             if x.tag != "#root":
-                attrs = "".join(f' {k}="{escape(v)}"' for k, v in x.attrs.items())
+                attrs = "".join([f' {k}="{escape(v)}"' for k, v in x.attrs.items()]) if x.attrs else ""
                 out.append(f"<{x.tag}{attrs}>")
                 if x.tag in VOID:
                     continue

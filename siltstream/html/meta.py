@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from urllib.parse import urlparse
 
+from siltstream import __version__
 from siltstream.html.dom import Node
 
-# What stands for a missing title, author and date, and the name of the engine.
-TITLE, AUTHOR, DATE, ENGINE = "Documento", "Desconocido", "N/A", "UIF v3.0"
+# What stands for a missing title, author and date; and the name of this engine.
+TITLE, AUTHOR, DATE, ENGINE = "Documento", "Desconocido", "N/A", f"siltstream {__version__}"
 
 
 def first_json_ld(blocks: list[str]) -> str | None:

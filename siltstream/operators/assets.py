@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstream.functions.text import present, write_strategy
 from siltstream.functions.urls import slugify
+from siltstream.html.meta import ENGINE
 
 # Endings of documents; all other files count as images. Office formats have no reader here.
 DOCUMENTS = (".pdf", ".docx", ".pptx", ".xlsx", ".md", ".txt", ".csv")
@@ -42,7 +43,7 @@ def routed(assets: DataFrame, url: str = "url", content: str = "content") -> Dat
     """
     ext, size = extension(url), F.octet_length(content)
     head = F.concat(
-        F.lit("---\nurl: "), F.col(url), F.lit("\nfilename: "), F.col("filename"), F.lit("\nformat: MARKDOWN\ningestion_engine: UIF v3.0\n---\n\n"),
+        F.lit("---\nurl: "), F.col(url), F.lit("\nfilename: "), F.col("filename"), F.lit(f"\nformat: MARKDOWN\ningestion_engine: {ENGINE}\n---\n\n"),
         F.make_valid_utf8(F.col(content).cast("string")),
     )
     named = assets.withColumns({"filename": file_name(url), "extension": ext, "folder": folder(url), "size_bytes": size, "strategy": write_strategy(size)})

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltstream.functions.urls import origin
+from siltstream.functions.urls import origin, percent_encoded
 
 # Marks of challenge pages, in the order in which the first that is found decides.
 CHALLENGES = {
@@ -46,34 +45,47 @@ def decoded(raw: str | Column, body: str | Column) -> Column:
     return F.make_valid_utf8(F.coalesce(F.nullif(r, F.lit(b"")), b).cast("string"))
 
 
-@lru_cache(maxsize=1_000)
-def _rules(status: int | None, text: str | None) -> RobotFileParser | None:
-    if status in (401, 403):
-        return RobotFileParser()  # never read: nothing may be fetched
-    if status != 200:
-        return None
-    rules = RobotFileParser()
-    rules.parse((text or "").splitlines())
-    return rules
+#: A rule of a robots file: the encoded beginning of the addresses it is for, and whether they may be fetched.
+RULE = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("allow", T.BooleanType())]))
 
 
-def may_fetch(url: str, status: int | None, text: str | None, agent: str) -> bool:
-    rules = _rules(status, text)
-    return rules is None or rules.can_fetch(agent, url)
+def rules_of(body: str | None, agent: str) -> list[tuple[str, bool]]:
+    """The rules of a robots file for ``agent`` in order; the first that fits decides."""
+    parser = RobotFileParser()
+    parser.parse((body or "").splitlines())
+    for entry in (*parser.entries, parser.default_entry):
+        if entry is not None and entry.applies_to(agent):
+            return [("" if rule.path == "*" else rule.path, rule.allowance) for rule in entry.rulelines]
+    return []
 
 
-def robots_gate(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
-    """``pages`` with ``allowed``, by ``robots`` (origin, status, body), one row an origin.
+def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """(origin, rules) of ``robots`` (origin, status, body): each file is parsed once.
 
-    200 is parsed, 401 and 403 forbid all, anything else or no row allows all. Null addresses are not allowed.
-    Spark broadcasts ``robots`` only while its size permits.
+    401 and 403 forbid all, 200 has the rules of its body, any other status none.
     """
-    rules = robots.select(F.col("origin").alias("_origin"), F.col("status").alias("_status"), F.col("body").alias("_body"))
 
-    @F.pandas_udf("boolean")
-    def allowed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for urls, statuses, bodies in batches:
-            yield pd.Series([u is not None and may_fetch(u, None if pd.isna(s) else int(s), b, agent) for u, s, b in zip(urls, statuses, bodies)])
+    @F.pandas_udf(RULE)
+    def parsed(bodies: pd.Series) -> pd.Series:
+        return pd.Series([[{"path": path, "allow": allow} for path, allow in rules_of(body, agent)] for body in bodies], dtype=object)
+
+    none = F.array(F.struct(F.lit("").alias("path"), F.lit(False).alias("allow"))).cast(RULE)
+    rules = F.when(F.col("status").isin(401, 403), none).when(F.col("status") == 200, parsed("body"))
+    return robots.select("origin", F.coalesce(rules, F.array().cast(RULE)).alias("rules"))
+
 
+def robots_gate(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
+    """``pages`` with ``allowed``, by ``robots`` (origin, status, body), one row an origin.
+
+    An origin without a row allows all. Null addresses are not allowed. What joins each address is its origin's list
+    of rules, not the file, and the first that fits is found in the JVM; give this the addresses, not their pages.
+    Spark broadcasts the rules only while their size permits.
+    """
+    rules = robots_rules(robots, agent).select(F.col("origin").alias("_origin"), F.col("rules").alias("_rules"))
     joined = pages.join(rules, origin(F.col(url)) == F.col("_origin"), "left")
-    return joined.withColumn("allowed", allowed(F.col(url), F.col("_status"), F.col("_body"))).drop("_origin", "_status", "_body")
+    rest = F.regexp_replace(F.regexp_replace(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), "[?#]\\z", "")
+    # Where an escape is malformed, it stands as it is, with its percent sign encoded.
+    target = F.coalesce(percent_encoded(rest), percent_encoded(F.replace(rest, F.lit("%"), F.lit("%25"))), rest)
+    first = F.try_element_at(F.filter("_rules", lambda rule: F.startswith(F.when(target == "", "/").otherwise(target), rule["path"])), F.lit(1))
+    allowed = F.when(F.col(url).isNull(), False).otherwise(F.coalesce(F.when(F.size("_rules") > 0, first["allow"]), F.lit(True)))
+    return joined.withColumn("allowed", allowed).drop("_origin", "_rules")

@@ -8,6 +8,7 @@ the mission when nothing is pending.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,16 @@ def seeded(seeds: DataFrame) -> DataFrame:
     return state.insert_ignore(empty, rows, F.lit(0))[0]
 
 
-def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, scope: str = "smart", most_retries: int = 3) -> Mission:
+def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, scope: str = "smart", most_retries: int = 3, assets: DataFrame | None = None) -> Mission:
     """Crawl ``pages`` (url, status, html) from the pending addresses of ``store``.
 
     An address without a page fails as not found. Forbidden ones become ``skipped_robots``; challenge pages and error
     responses fail with a retry counted, so they are tried again in the next rounds while tries are left. Every page is
     taken once an address; of repeated rows any one. Rounds go on until nothing is pending: each address that is taken
-    is completed, skipped or has a try less.
+    is completed, skipped or has a try less. Stored pages do not change, so no round waits before it tries again.
+
+    With ``assets`` (url, content), the assets found are completed where there is a content, else failed; without, they
+    stay pending for another job.
     """
     pages = materialize(pages.dropDuplicates(["url"]), "pages")
     store, items, rounds = materialize(store, "store"), None, 0
@@ -51,7 +55,10 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
         if waiting.isEmpty():
             break
         rounds += 1
-        gated = gating.robots_gate(waiting.join(pages.withColumnRenamed("status", "code"), "url", "left"), rules)
+        at = F.lit(datetime.now(timezone.utc))
+        # Addresses alone pass the robots gate; only the pages of those it lets through are joined.
+        gated = gating.robots_gate(waiting, rules)
+        gated = gated.join(pages.withColumnRenamed("status", "code").withColumn("allowed", F.lit(True)), ["url", "allowed"], "left")
         kind = gating.response_class("code")
         error = (
             F.when(~F.col("allowed"), "robots").when(F.col("code").isNull(), "HTTP 404").when(kind == "empty", "Empty content")
@@ -59,7 +66,7 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
         )
         judged = materialize(gated.withColumn("error", error), "judged")
         good = judged.filter("error IS NULL")
-        parsed = materialize(parse_pages(good, keep=("url",)), "parsed")
+        parsed = materialize(parse_pages(good, keep=("url",), parts=("metadata", "markdown", "engine", "links", "images")), "parsed")
         new_items = parsed.select("url", "metadata.title", "markdown", "engine")
         items = new_items if items is None else items.unionAll(new_items)
         if rounds % frontier.TOGETHER == 0:
@@ -67,10 +74,17 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
         found = frontier.triage(frontier.edges(parsed, "url", F.concat("links", "images")), scope)
         fresh = found.select("url", F.lit("pending").alias("status"), F.col("kind").alias("type"), F.lit(0).alias("retries")).distinct()
         done = F.when(F.col("error").isNull(), "completed").when(F.col("error") == "robots", "skipped_robots").otherwise("failed")
-        changes = judged.select("url", done.alias("status"), F.nullif("error", F.lit("robots")).alias("error"), F.lit(None).cast("timestamp").alias("at"), F.lit(rounds).alias("seq"))
+        changes = judged.select("url", done.alias("status"), F.nullif("error", F.lit("robots")).alias("error"), at.alias("at"), F.lit(rounds).alias("seq"))
         failed = judged.filter("error IS NOT NULL AND error <> 'robots'").select("url")
         merged = state.add_retries(state.merge_status(store, changes), failed)
         store = materialize(state.insert_ignore(merged, fresh, F.col("type"))[0], "store")
+    if assets is not None:
+        at = F.lit(datetime.now(timezone.utc))
+        held = assets.filter("content IS NOT NULL").select("url", F.lit(True).alias("held")).distinct()
+        asked = state.pending(store, "asset", most_retries).select("url").join(held, "url", "left")
+        done = F.when(F.col("held"), "completed").otherwise("failed")
+        changes = asked.select("url", done.alias("status"), F.when(~F.coalesce("held", F.lit(False)), "HTTP 404").alias("error"), at.alias("at"), F.lit(rounds + 1).alias("seq"))
+        store = materialize(state.merge_status(store, changes), "store")
     if items is None:
         items = pages.sparkSession.createDataFrame([], "url string, title string, markdown string, engine string")
     return Mission(store, items, rounds)

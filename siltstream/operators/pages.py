@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,29 +28,45 @@ PAGE = T.StructType([
 Extractor = Callable[[str | None, str | None], dict]
 
 
-def page_record(html: str | None, url: str | None) -> dict:
-    """What is read from one page. Metadata and links come from the page as it is, text from the capped, cleaned page."""
+#: The parts of a page, each of which costs only those who ask for it.
+PARTS = ("metadata", "markdown", "engine", "links", "images", "link_density")
+
+
+def page_record(html: str | None, url: str | None, parts: tuple[str, ...] = PARTS, longest: int | None = None, most_lines: int | None = None) -> dict:
+    """What is read from one page: the ``parts`` asked for.
+
+    Metadata, links and images come from the page as it is, its text from the cleaned page. ``longest`` limits the
+    characters that the text is read from, ``most_lines`` the lines of a page without paragraphs; by default both are
+    read whole.
+    """
     from siltstream.html.clean import capped, link_density, prune_links, remove_furniture, sanitize
     from siltstream.html.convert import extract
     from siltstream.html.dom import parse
     from siltstream.html.meta import metadata
 
     if not html:
-        return {"metadata": None, "markdown": "", "engine": "none", "links": [], "images": [], "link_density": 0.0}
-    root = parse(html)
-    record = {
-        "metadata": metadata(root, url),
-        "links": [n.attrs["href"] for n in root.find_all("a") if n.attrs.get("href")],
-        "images": [n.attrs["src"] for n in root.find_all("img") if n.attrs.get("src")],
-        "link_density": link_density(root),
-    }
-    short = capped(html)
-    if len(short) < len(html):
-        root = parse(short)
-    remove_furniture(root)
-    prune_links(root)
-    sanitize(root)
-    record["markdown"], record["engine"] = extract(html, root)
+        empty = {"metadata": None, "markdown": "", "engine": "none", "links": [], "images": [], "link_density": 0.0}
+        return {part: empty[part] for part in parts}
+    root, record = parse(html), {}
+    if "metadata" in parts:
+        record["metadata"] = metadata(root, url)
+    if "links" in parts or "images" in parts:
+        record["links"], record["images"] = [], []
+        for node in root.walk():
+            if node.tag == "a" and node.attrs.get("href"):
+                record["links"].append(node.attrs["href"])
+            elif node.tag == "img" and node.attrs.get("src"):
+                record["images"].append(node.attrs["src"])
+    if "link_density" in parts:
+        record["link_density"] = link_density(root)
+    if "markdown" in parts or "engine" in parts:
+        short = capped(html, longest)
+        if len(short) < len(html):
+            root = parse(short)
+        remove_furniture(root)
+        prune_links(root)
+        sanitize(root)
+        record["markdown"], record["engine"] = extract(html, root, most_lines)
     return record
 
 
@@ -64,14 +81,22 @@ def clean_record(html: str | None, url: str | None) -> dict:
     return {"html": out, "size": len(out)}
 
 
-def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = (), extractor: Extractor = page_record, schema: T.StructType = PAGE) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = (), extractor: Extractor = page_record, schema: T.StructType = PAGE,
+    parts: tuple[str, ...] | None = None, longest: int | None = None, most_lines: int | None = None,
+) -> DataFrame:
     """The columns ``keep`` and those of ``schema``, which ``extractor`` reads from each page.
 
+    Of the engine's own extractor only the ``parts`` named are read, and paid for; its limits are ``page_record``'s.
     Gates belong before this: they are then pushed to the scan, and only pages that pass are parsed. Null and empty
     pages give an empty text with engine ``none``. Any other extractor of (html, url) can be given with its schema.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if extractor is page_record:
+        parts = parts or PARTS
+        extractor = partial(page_record, parts=parts, longest=longest, most_lines=most_lines)
+        schema = T.StructType([PAGE[part] for part in parts])
     kept = spread(pages.select(*keep, F.col(html).alias("_html"), F.col(url).alias("_url")))
     out = T.StructType([*(kept.schema[c] for c in keep), *schema.fields])
     arrow = to_arrow_schema(schema)

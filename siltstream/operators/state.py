@@ -82,8 +82,13 @@ def next_tries(failures: DataFrame, most_retries: int = 3) -> DataFrame:
 
 
 def reset_domain(store: DataFrame, domain: str) -> DataFrame:
-    """The store without the addresses of one site."""
-    return store.filter(netloc("url") != domain)
+    """The store without the addresses of one site; rows without an address stay. ``of_domain`` tells what goes."""
+    return store.filter(F.coalesce(netloc("url") != domain, F.lit(True)))
+
+
+def of_domain(store: DataFrame, domain: str) -> DataFrame:
+    """The rows that ``reset_domain`` drops, to be counted or kept."""
+    return store.filter(netloc("url") == domain)
 
 
 class MissionLock:

@@ -12,9 +12,9 @@ from siltstream.plans.text_queries import stripped_sql
 from siltstream.sources.tables import table
 
 
-def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+def _parsed(spark: SparkSession, folder: str, *parts: str) -> DataFrame:
     items = table(spark, folder, "scraped_items", "item_id", "url", "content", "metadata")
-    return pages.parse_pages(pages.rendered(items), keep=("item_id",))
+    return pages.parse_pages(pages.rendered(items), keep=("item_id",), parts=parts)
 
 
 @query(f"""SELECT item_id, url, {stripped_sql("string_split(string_split(coalesce(nullif(metadata.og_title, ''), nullif(metadata.title, ''), 'Documento'), '|')[1], ' - ')[1]")} AS title,
@@ -22,7 +22,7 @@ def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     coalesce(array_to_string(metadata.keywords, ';'), '') AS keywords FROM scraped_items""")
 def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
     m = "metadata."
-    return _parsed(spark, folder).select("item_id", m + "url", m + "title", m + "author", m + "sitename", m + "description", F.array_join(m + "keywords", ";").alias("keywords"))
+    return _parsed(spark, folder, "metadata").select("item_id", m + "url", m + "title", m + "author", m + "sitename", m + "description", F.array_join(m + "keywords", ";").alias("keywords"))
 
 
 @query()
@@ -34,18 +34,18 @@ def html_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def page_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return _parsed(spark, folder).select("item_id", "engine", "markdown")
+    return _parsed(spark, folder, "engine", "markdown").select("item_id", "engine", "markdown")
 
 
 @query(r"""SELECT item_id, 1 + coalesce(len(regexp_extract_all(content, '\[[^\[\]]*\]\([^()\s]+\)')), 0) AS links FROM scraped_items""")
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links of each page: those of its text and the one of its menu."""
-    return _parsed(spark, folder).select("item_id", F.size("links").cast("long").alias("links"))
+    return _parsed(spark, folder, "links").select("item_id", F.size("links").cast("long").alias("links"))
 
 
 @query()
 def link_density(spark: SparkSession, folder: str) -> DataFrame:
-    return _parsed(spark, folder).select("item_id", F.round("link_density", 6).alias("link_density"))
+    return _parsed(spark, folder, "link_density").select("item_id", F.round("link_density", 6).alias("link_density"))
 
 
 @query(rf"""WITH RECURSIVE pages AS (SELECT url, content FROM (SELECT url, content, row_number() OVER (PARTITION BY url ORDER BY item_id) AS rn FROM scraped_items) WHERE rn = 1),

@@ -9,15 +9,15 @@ from siltstream.streaming import events
 
 
 def test_settings(tmp_path, monkeypatch):
-    monkeypatch.delenv("SCRAPER_DATA_DIR", raising=False)
-    monkeypatch.delenv("SCRAPER_MAX_WORKERS", raising=False)
+    monkeypatch.delenv("SILTSTREAM_DATA_DIR", raising=False)
+    monkeypatch.delenv("SILTSTREAM_MAX_WORKERS", raising=False)
     path = tmp_path / "x" / "config.yaml"
     assert config.load(path) == config.Settings()
     config.Settings(max_retries=7).save(path)
     path.write_text(path.read_text() + "unknown: 1\n")
     assert config.load(path).max_retries == 7
-    monkeypatch.setenv("SCRAPER_MAX_WORKERS", "2")
-    monkeypatch.setenv("SCRAPER_DATA_DIR", "~/d")
+    monkeypatch.setenv("SILTSTREAM_MAX_WORKERS", "2")
+    monkeypatch.setenv("SILTSTREAM_DATA_DIR", "~/d")
     got = config.load(path)
     assert got.default_workers == 2 and "~" not in got.data_dir
     monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path))
