@@ -25,12 +25,12 @@ from siltstream.session import spread
 LENGTH = 12
 #: Words of a shard: bounds a task's memory, whatever the size of its partition.
 SHARD_WORDS = 1_000_000
-#: Words of evaluation texts in one pass; more are searched in further passes, each over the whole corpus.
+#: Words of evaluation texts in a block. Blocks are searched one after the other in each shard's one index.
 BLOCK_WORDS = 200_000
 
 WORD = re.compile(r"[^\W_]+")
 #: Tags and the targets of links stand between words and are not words of the text.
-MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|\]\([^()\s]{0,500}\)|&[a-zA-Z]{2,8};")
+MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*>|\]\([^()\s]*\)|&[a-zA-Z]{2,31};")
 
 
 def words_of(text: str) -> list[str]:
@@ -39,18 +39,18 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def phrase_table(texts: list[tuple[object, list[str]]], length: int) -> tuple[np.ndarray, dict[str, int], np.ndarray, list]:
-    """Distinct phrases as rows of word numbers, the numbers, and (phrase, text) pairs of where each stands."""
+def phrase_table(texts: list[tuple[object, list[str]]], length: int) -> tuple[np.ndarray, list[str], np.ndarray, list]:
+    """Distinct phrases as rows of word numbers, the words by number, (phrase, text) pairs of where each stands, and ids."""
     number: dict[str, int] = {}
     rows: dict[tuple[int, ...], int] = {}
     pairs, ids = set(), [key for key, _ in texts]
     for k, (_, words) in enumerate(texts):
-        coded = [number.setdefault(w, len(number) + 2) for w in words]
+        coded = [number.setdefault(w, len(number)) for w in words]
         for i in range(len(coded) - length + 1):
             pairs.add((rows.setdefault(tuple(coded[i : i + length]), len(rows)), k))
     phrases = np.array(list(rows), dtype=np.int64).reshape(len(rows), length)
     where = np.array(sorted(pairs), dtype=np.int64).reshape(len(pairs), 2)
-    return phrases, number, where, ids
+    return phrases, list(number), where, ids
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
@@ -78,19 +78,12 @@ def leaked_spans(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame,
     asked = items.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("text IS NOT NULL")
     doc_kind, item_kind = (x.schema["id"].dataType.simpleString() for x in (corpus, asked))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, first_word bigint, last_word bigint"
-    spark, found, corpus = docs.sparkSession, [], spread(corpus)
-    for block in _blocks(asked):
-        shared = spark.sparkContext.broadcast(phrase_table(block, length))
-        found.append(corpus.mapInArrow(_searcher(shared, length, schema, corpus, asked), schema))
-    if not found:
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
-
-
-def _searcher(shared, length, schema, corpus, asked):
+    context, corpus = docs.sparkSession.sparkContext, spread(corpus)
+    blocks = [context.broadcast(phrase_table(block, length)) for block in _blocks(asked)]
+    return corpus.mapInArrow(_searcher(blocks, length, corpus, asked), schema)
+
+
+def _searcher(blocks, length, corpus, asked):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = pa.schema([
@@ -99,11 +92,7 @@ def _searcher(shared, length, schema, corpus, asked):
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, number, where, item_ids = shared.value
-        if not len(phrases):
-            return
-        number = dict(number)
-        looks, ids, coded, size = Looks(), [], [], 0
+        looks, ids, coded, number, size = Looks(), [], [], {}, 0
         for batch in batches:
             forms = looks.form(batch.column(1)).to_pylist()
             for key, form in zip(batch.column(0).to_pylist(), forms):
@@ -113,56 +102,60 @@ def _searcher(shared, length, schema, corpus, asked):
                     coded.append(np.fromiter((number.setdefault(w, len(number) + 2) for w in words), np.int64, len(words)))
                     size += len(words) + 1
                     if size >= SHARD_WORDS:
-                        yield from search(ids, coded, phrases, where, item_ids)
-                        ids, coded, size = [], [], 0
+                        yield from search(ids, coded, number)
+                        ids, coded, number, size = [], [], {}, 0
         if ids:
-            yield from search(ids, coded, phrases, where, item_ids)
+            yield from search(ids, coded, number)
 
-    def search(ids, coded, phrases, where, item_ids):
+    def search(ids, coded, number):
+        """What a shard of texts, coded by the numbers of its own words, holds of all blocks."""
         lengths = np.array([len(c) for c in coded])
         starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
-        text = np.ones(int(lengths.sum()) + len(lengths), np.int64)
-        for start, c in zip(starts, coded):
-            text[start : start + len(c)] = c
-        # Only words of this shard and of the phrases need numbers, so the wavelet matrix stays low.
-        known, text = np.unique(np.r_[1, text], return_inverse=True)
-        text = text[1:] + 1
-        asked = np.searchsorted(known, phrases)
-        there = (known[np.minimum(asked, len(known) - 1)] == phrases).all(axis=1)
-        rows = np.flatnonzero(there)
-        if not len(rows):
-            return
-        index = FMIndex(text)
-        lo, hi = index.search(asked[rows] + 1)
-        counts = hi - lo
-        hit = np.flatnonzero(counts)
-        if not len(hit):
-            return
-        counts = counts[hit]
-        ends = np.cumsum(counts)
-        places = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(lo[hit], counts)
-        position = index.locate(places)
-        phrase = np.repeat(rows[hit], counts)
-        # Each phrase stands in one or several evaluation texts.
-        begin, end = np.searchsorted(where[:, 0], phrase), np.searchsorted(where[:, 0], phrase, side="right")
-        each = end - begin
-        total = np.cumsum(each)
-        item = where[np.arange(total[-1]) - np.repeat(total - each, each) + np.repeat(begin, each), 1]
-        position = np.repeat(position, each)
-        doc = np.searchsorted(starts, position, side="right") - 1
-        first = position - starts[doc]
-        by = np.lexsort((first, item, doc))
-        doc, item, first = doc[by], item[by], first[by]
-        new = np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(first) > length)]
-        opens = np.flatnonzero(new)
-        closes = np.r_[opens[1:], len(first)] - 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids[d] for d in doc[opens]], arrow[0].type), pa.array([item_ids[i] for i in item[opens]], arrow[1].type),
-                pa.array(first[opens]), pa.array(first[closes] + length - 1),
-            ],
-            schema=arrow,
-        )
+        index = None
+        for block in blocks:
+            phrases, words, where, item_ids = block.value
+            if len(blocks) > 1:
+                # One block in memory at a time; the next shard reads it from the worker's disk again.
+                block.__dict__.pop("_value", None)
+            asked = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))[phrases]
+            rows = np.flatnonzero((asked > 0).all(axis=1))
+            if not len(rows):
+                continue
+            if index is None:
+                text = np.ones(int(lengths.sum()) + len(lengths), np.int64)
+                for start, c in zip(starts, coded):
+                    text[start : start + len(c)] = c
+                index = FMIndex(text)
+            lo, hi = index.search(asked[rows])
+            counts = hi - lo
+            hit = np.flatnonzero(counts)
+            if not len(hit):
+                continue
+            counts = counts[hit]
+            ends = np.cumsum(counts)
+            places = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(lo[hit], counts)
+            position = index.locate(places)
+            phrase = np.repeat(rows[hit], counts)
+            # Each phrase stands in one or several evaluation texts.
+            begin, end = np.searchsorted(where[:, 0], phrase), np.searchsorted(where[:, 0], phrase, side="right")
+            each = end - begin
+            total = np.cumsum(each)
+            item = where[np.arange(total[-1]) - np.repeat(total - each, each) + np.repeat(begin, each), 1]
+            position = np.repeat(position, each)
+            doc = np.searchsorted(starts, position, side="right") - 1
+            first = position - starts[doc]
+            by = np.lexsort((first, item, doc))
+            doc, item, first = doc[by], item[by], first[by]
+            new = np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(first) > length)]
+            opens = np.flatnonzero(new)
+            closes = np.r_[opens[1:], len(first)] - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([ids[d] for d in doc[opens]], arrow[0].type), pa.array([item_ids[i] for i in item[opens]], arrow[1].type),
+                    pa.array(first[opens]), pa.array(first[closes] + length - 1),
+                ],
+                schema=arrow,
+            )
 
     return run
 

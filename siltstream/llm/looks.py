@@ -8,6 +8,7 @@ dashes, raised digits) stays. NFKC is not used because it would also flatten rai
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,15 +19,16 @@ from siltstream.session import materialize, spread
 
 # Characters without a visible shape (soft hyphen, joiners, marks of direction, BOM, fillers).
 INVISIBLE = (
-    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f"
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u200b\u200c\u200d\u200e\u200f"
     "\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b"
     "\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 )
-# Variation selectors are invisible too.
-INVISIBLE_RANGES = (("\ufe00", "\ufe0f"),)
+# Ranges of variation selectors, interlinear marks and tags, which are invisible too.
+INVISIBLE_RANGES = (("\ufe00", "\ufe0f"), ("\ufff9", "\ufffb"), ("\U000e0001", "\U000e0001"), ("\U000e0020", "\U000e007f"), ("\U000e0100", "\U000e01ef"))
 # Kinds of blank that stand for one space.
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-# Letters of Cyrillic and Greek that are drawn like a Latin letter, and the Latin letter.
+# Letters of Cyrillic, Greek, Armenian and Cherokee that are drawn like a Latin letter, and the Latin letter.
+# Mathematical, circled and small-capital letters are not among them: a reader sees that they are set differently.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j",
     "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
@@ -36,6 +38,10 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ό": "ó", "ϳ": "j",
     "Ά": "Á", "Έ": "É", "Ί": "Í", "Ό": "Ó", "Ύ": "Ý", "Ϊ": "Ï", "Ϋ": "Ÿ",
+    "α": "a", "ι": "i", "ρ": "p", "υ": "u", "ϲ": "c", "Ϲ": "C", "Ϳ": "J", "ά": "á", "ί": "í", "ύ": "ú", "ϊ": "ï", "ϋ": "ü",
+    "ց": "g", "հ": "h", "զ": "q", "ո": "n", "ս": "u", "օ": "o", "Օ": "O", "Ս": "U", "Տ": "S",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V",
+    "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
 }
 # Joined letters and what they join.
 JOINED = {
@@ -44,7 +50,9 @@ JOINED = {
 }
 # Full-width forms are U+FF01 to U+FF5E, at a fixed distance from the ASCII characters they widen.
 FULL_WIDTH = {chr(0xFF00 + i): chr(0x20 + i) for i in range(1, 0x5F)}
-FULL_WIDTH_SIGNS = {"￠": "¢", "￡": "£", "￢": "¬", "￥": "¥", "￦": "₩", "￤": "¦"}
+# Half-width forms of kana and Hangul have the ordinary form that their compatibility data name.
+HALF_WIDTH = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFF0) if unicodedata.decomposition(chr(c)).startswith("<narrow>") and chr(c) not in INVISIBLE}
+FULL_WIDTH_SIGNS = {"｟": "⦅", "｠": "⦆", "￣": "¯", "￠": "¢", "￡": "£", "￢": "¬", "￥": "¥", "￦": "₩", "￤": "¦"}
 
 
 def _quoted(text: str) -> str:
@@ -52,7 +60,7 @@ def _quoted(text: str) -> str:
 
 
 def _one_to_one() -> dict[str, str]:
-    return {c: " " for c in BLANKS} | FULL_WIDTH | FULL_WIDTH_SIGNS | LOOKALIKES
+    return {c: " " for c in BLANKS} | FULL_WIDTH | FULL_WIDTH_SIGNS | HALF_WIDTH | LOOKALIKES
 
 
 def looks_sql(column: str) -> str:

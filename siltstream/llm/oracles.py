@@ -2,8 +2,41 @@
 
 from __future__ import annotations
 
-from siltstream.llm.leaks import MARKUP
-from siltstream.llm.looks import looks_sql
+import sys
+import unicodedata
+
+# The rule of problem 9 once more, from the Unicode data where they tell, and not from the operator's tables.
+# Letters drawn like a Latin one, and beneath each the Latin one.
+SHAPES = (
+    "аеорсухіѕјһԁԛԝАВЕКМНОРСТХУІЅЈԚԜёЁїЇѐЀ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονόϳΆΈΊΌΎΪΫαιρυϲϹͿάίύϊϋ" "ցհզոսօՕՍՏ" "ᎠᎡᎢᎪᎫᎬᏃᎳᎷᎻᏀᏙᏚᏞᏟᏢᏦᏴ",
+    "aeopcyxisjhdqwABEKMHOPCTXYISJQWëËïÏèÈ" "ABEZHIKMNOPTYXovójÁÉÍÓÝÏŸaipucCJáíúïü" "ghqnuoOUS" "DRTAJEZWMHGVSLCPKB",
+)
+# Format characters that are seen: signs over numbers, and Egyptian and musical marks.
+SEEN = set(range(0x600, 0x606)) | {0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD} | set(range(0x13430, 0x13440)) | set(range(0x1D173, 0x1D17B)) | set(range(0x1BCA0, 0x1BCA4))
+# Marks and letters without a shape that are no format characters.
+SHAPELESS = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0} | set(range(0xFE00, 0xFE10)) | set(range(0xE0020, 0xE0080)) | set(range(0xE0100, 0xE01F0))
+
+
+def form_sql(column: str) -> str:
+    """The DuckDB expression of problem 9's one form."""
+    unseen, plain, joined = [], dict(zip(*SHAPES)), {}
+    for code in range(0xA0, sys.maxunicode + 1):
+        c = chr(code)
+        kind, parts = unicodedata.category(c), unicodedata.decomposition(c)
+        if (kind == "Cf" and code not in SEEN) or code in SHAPELESS:
+            unseen.append(c)
+        elif kind == "Zs":
+            plain[c] = " "
+        elif parts.startswith(("<wide>", "<narrow>")):
+            plain[c] = chr(int(parts.split()[1], 16))
+        elif "LATIN" in unicodedata.name(c, "") and ("LIGATURE" in unicodedata.name(c) or code in range(0x1C4, 0x1CD)) and parts and len(unicodedata.normalize("NFKC", c)) > 1:
+            # Of the digraphs, those with a capital and a small letter are a matter of case that is seen.
+            if unicodedata.category(c) != "Lt":
+                joined[c] = unicodedata.normalize("NFKC", c)
+    text = f"regexp_replace({column}, '[{''.join(unseen)}]', '', 'g')"
+    for c, letters in joined.items():
+        text = f"replace({text}, '{c}', '{letters}')"
+    return f"nfc_normalize(translate({text}, '{''.join(plain)}', '{''.join(plain.values()).replace(chr(39), chr(39) * 2)}'))"
 
 
 REPEATED_LINES = r"""
@@ -17,13 +50,18 @@ REPEATED_LINES = r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    form = looks_sql("text")
-    markup = MARKUP.pattern
+    form = form_sql("text")
+    # Tags, targets of links and named characters stand between words.
+    markup = r"<[/]?[A-Za-z][^<>\n]*>|\]\([^()\s]*\)|&[A-Za-z]{2,31};"
     return {
         "p3_found": """
             SELECT i.item_id FROM scraped_items i JOIN split_limits l
             ON l.content_type = CASE WHEN i.content_type IN (SELECT content_type FROM split_limits) THEN i.content_type ELSE 'text' END
             WHERE CASE WHEN l.size_unit = 'bytes' THEN strlen(i.content) ELSE length(i.content) END > l.max_size""",
+        "p3_joined": """
+            SELECT i.item_id, md5(i.content) AS digest, true AS within FROM scraped_items i JOIN split_limits l
+            ON l.content_type = CASE WHEN i.content_type IN (SELECT content_type FROM split_limits) THEN i.content_type ELSE 'text' END
+            WHERE CASE WHEN l.size_unit = 'bytes' THEN strlen(i.content) ELSE length(i.content) END > l.max_size""",
         "p5_found": REPEATED_LINES + "SELECT item_id, line_no FROM found",
         "p5_cleaned": REPEATED_LINES + """, g AS (SELECT item_id, list(line_no) AS gone FROM found GROUP BY item_id)
             SELECT i.item_id, CASE WHEN gone IS NULL THEN content

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,9 @@ def boundaries(text: str, headings: set[str] | None = None) -> dict[int, float]:
     for pattern, cost in ((SENTENCE_END, SENTENCE), (LINE_END, LINE), (BLANK_LINES, BLANK)):
         for m in pattern.finditer(text):
             mark(m.end(), cost)
+    places = sorted(found)
     for m in BLOCK.finditer(text):
-        for at in [a for a in found if m.start() < a < m.end()]:
+        for at in places[bisect_right(places, m.start()) : bisect_left(places, m.end())]:
             found[at] += INSIDE
     for m in HEAD_LINE.finditer(text):
         mark(m.start(), NAMED if headings and m.group(1).strip().lower() in headings else HEADING)
@@ -68,19 +70,25 @@ def cut(text: str, limit: int, unit: str = "chars", overlap: int = 0, headings:
     """(start, cut, end) of the pieces: a piece is text[start:end], of which text[start:cut] repeats the one before.
 
     A text within the limit is one piece. Every piece is at most ``limit`` in ``unit``; joined from their cuts they
-    give the text back. The overlap counts in the limit; where it would leave no room it is shortened to half of it.
+    give the text back. The overlap counts in the limit, so it is below that (``limits_of`` refuses others). An overlap
+    whose bytes leave less than a quarter of the room beside it is shortened at that cut, and only there.
     """
     sizes = _sizes(text, unit)
     total = int(sizes[-1])
     if total <= limit:
         return [(0, 0, len(text))]
-    widest = 4 if unit == "bytes" else 1
-    if limit < widest:
+    if limit < (4 if unit == "bytes" else 1):
         raise ValueError("a limit below one character")
-    overlap = max(0, min(overlap, limit // (2 * widest)))
+    widest = int(np.diff(sizes).max())
+    overlap = max(0, min(overlap, limit - 1))
+    # Where the repeated part of a piece begins, for a cut at each place.
+    most = limit - max(widest, (limit - overlap) // 4)
+    before = np.maximum(np.arange(len(sizes)) - overlap, 0)
+    before = np.maximum(before, np.searchsorted(sizes, sizes - most))
+    room = limit - int((sizes - sizes[before]).max())
     costs = boundaries(text, headings)
     # Long sentences may be cut before words, long words anywhere, so that every stretch can be bridged.
-    stride = max(1, (limit - overlap * widest) // (2 * widest))
+    stride = max(1, room // (2 * widest))
     last = 0
     for at in [*sorted(costs), len(text)]:
         if at - last > stride:
@@ -94,8 +102,7 @@ def cut(text: str, limit: int, unit: str = "chars", overlap: int = 0, headings:
         last = at
     places = np.array([0, *sorted(costs), len(text)])
     penalty = np.array([0.0, *(costs[p] for p in places[1:-1].tolist()), 0.0])
-    starts = np.maximum(0, places - overlap)
-    starts[0] = 0
+    starts = before[places]
     begin, size_at = sizes[starts], sizes[places]
     # The even size of a piece, if as few pieces as can be are made.
     step = max(1, limit - overlap)
@@ -124,6 +131,9 @@ def limits_of(limits: DataFrame, default: str = "text") -> dict[str, tuple[int,
     if len(rows) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} content types")
     found = {r["content_type"]: (r["max_size"], r["size_unit"] or "chars", r["overlap_chars"] or 0) for r in rows}
+    for kind, (most, _, overlap) in found.items():
+        if overlap >= most:
+            raise ValueError(f"an overlap of {overlap} leaves no room under the limit {most} of {kind}")
     if rows and default not in found:
         raise ValueError(f"no limit for the default type {default}")
     return found

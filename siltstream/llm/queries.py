@@ -64,6 +64,19 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p3_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each oversized item give when joined from their cuts, and whether all keep their limit."""
+    limits = table(spark, folder, "split_limits")
+    items = table(spark, folder, "scraped_items", "item_id", "content_type")
+    known = items.join(limits.select("content_type", F.lit(True).alias("known")).distinct(), "content_type", "left")
+    kinds = known.select("item_id", F.when(F.col("known"), F.col("content_type")).otherwise("text").alias("content_type"))
+    size = F.when(F.col("size_unit") == "bytes", F.octet_length("piece")).otherwise(F.char_length("piece"))
+    each = _pieces(spark, folder).join(kinds, "item_id").join(limits, "content_type")
+    part = F.struct("piece_no", F.expr("substring(piece, overlap + 1)").alias("own"))
+    joined = each.groupBy("item_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.bool_and(size <= F.col("max_size")).alias("within"))
+    return joined.select("item_id", F.md5(F.array_join(F.transform("parts", lambda p: p["own"]), "")).alias("digest"), "within")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "scraped_items", "item_id", "content")
     pairs, members = near.near_duplicates(items, "item_id", "content", width=3, threshold=0.6, least_words=60)
@@ -160,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_reasons": p2_reasons,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p3_joined": p3_joined,
         "p4_found": p4_found,
         "p4_linked": p4_linked,
         "p4_members": p4_members,

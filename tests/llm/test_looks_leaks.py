@@ -1,11 +1,12 @@
 import random
 import unicodedata
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from siltstream.llm import leaks, looks
+from siltstream.llm import leaks, looks, oracles
 from siltstream.llm.fmindex import FMIndex, WaveletMatrix, suffix_array
 
 
@@ -126,3 +127,36 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK_WORDS", 20)
     got = {(r.doc_id, r.item_id) for r in leaks.leaked_spans(docs, "doc_id", "text", items, "eval_id", "text").collect()}
     assert got == {(i, i) for i in range(6)}
+
+
+def test_long_markup_and_many_blocks_in_one_pass(spark, monkeypatch):
+    item = " ".join(f"t{i}" for i in range(30))
+    text = item.replace("t7", f"[t7](https://x.example/{'a' * 3000})").replace("t9", f"t9<span title='{'b ' * 400}'>").replace("t11", "t11 &CounterClockwiseContourIntegral;")
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item), (8, " ".join(f"u{i}" for i in range(20))), (9, item)], "eval_id bigint, text string")
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 10)
+    found = leaks.leaked_spans(docs, "doc_id", "text", items, "eval_id", "text")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7, 0, 29), (1, 9, 0, 29)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize(
+    "stored, plain",
+    [
+        ("pαypal", "paypal"), ("ρύα", "púa"), ("x\U000e0041\U000e0100y", "xy"), ("a᠏b", "ab"), ("ｶﾞ", "ガ"), ("Ꭺpple օf", "Apple of"),
+        # What a reader sees stays: bold, circled and raised signs.
+        ("𝐀bc", "𝐀bc"), ("①", "①"), ("m²", "m²"), ("ß", "ß"),
+    ],
+)
+def test_letters_of_other_scripts_and_tags(stored, plain):
+    assert form(stored)[0] == plain
+    assert duckdb.execute(f"SELECT {oracles.form_sql('x')} FROM (SELECT ? AS x)", [stored]).fetchone()[0] == plain
+
+
+def test_operator_and_rule_agree_on_every_character():
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    con = duckdb.connect()
+    con.register("t", pa.table({"x": [f"a{c}b" for c in every]}))
+    mine, rule = con.execute(f"SELECT {looks.looks_sql('x')} AS mine, {oracles.form_sql('x')} AS rule FROM t").to_arrow_table().columns
+    unlike = [(hex(ord(c)), m, r) for c, m, r in zip(every, mine.to_pylist(), rule.to_pylist()) if m != r]
+    assert unlike == []

@@ -56,6 +56,30 @@ def test_exactly_the_limit_is_whole():
         pieces.cut("abc", 1, "bytes", 0)
 
 
+def test_overlap_in_bytes_is_as_stated_where_it_fits():
+    plain = "word " * 1_000
+    assert all(b[1] - b[0] == 200 for b in pieces.cut(plain, 800, "bytes", 200)[1:])
+    mixed = "word " * 300 + "\U0001d11e" * 600 + " word" * 300
+    found = pieces.cut(mixed, 800, "bytes", 200)
+    assert all(size(mixed[s:e], "bytes") <= 800 for s, _, e in found) and "".join(mixed[c:e] for _, c, e in found) == mixed
+    assert found[1][1] - found[1][0] == 200 == found[-1][1] - found[-1][0] and min(b[1] - b[0] for b in found[1:]) >= 130
+
+
+def test_many_blocks_in_one_text_take_linear_time():
+    import time
+
+    text = "\n\n".join(f"Words before block {k}.\n\n```\ncode {k}\n```" for k in range(8_000))
+    began = time.time()
+    pieces.boundaries(text)
+    assert time.time() - began < 1
+
+
+def test_overlap_above_the_limit_is_refused(spark):
+    limits = spark.createDataFrame([("text", 100, "chars", 100)], "content_type string, max_size int, size_unit string, overlap_chars int")
+    with pytest.raises(ValueError):
+        pieces.limits_of(limits)
+
+
 def test_pieces_of_a_table(spark):
     headers = [(1, "T", None), (2, None, "x")]
     rows = [(1, "a " * 60, "text", headers), (2, "a " * 60, None, None), (3, "é" * 41, "article", []), (4, "é" * 40, "article", headers), (5, "b " * 30, "unlisted", headers), (6, None, "text", headers), (7, "", "text", headers), (8, "b " * 31, "unlisted", None)]
