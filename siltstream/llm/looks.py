@@ -51,7 +51,7 @@ JOINED = {
 # Full-width forms are U+FF01 to U+FF5E, at a fixed distance from the ASCII characters they widen.
 FULL_WIDTH = {chr(0xFF00 + i): chr(0x20 + i) for i in range(1, 0x5F)}
 # Half-width forms of kana and Hangul have the ordinary form that their compatibility data name.
-HALF_WIDTH = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFF0) if unicodedata.decomposition(chr(c)).startswith("<narrow>") and chr(c) not in INVISIBLE}
+HALF_WIDTH = {chr(c): chr(int(unicodedata.decomposition(chr(c)).split()[1], 16)) for c in range(0xFF61, 0xFFF0) if unicodedata.decomposition(chr(c)).startswith("<narrow>") and chr(c) not in INVISIBLE}
 FULL_WIDTH_SIGNS = {"｟": "⦅", "｠": "⦆", "￣": "¯", "￠": "¢", "￡": "£", "￢": "¬", "￥": "¥", "￦": "₩", "￤": "¦"}
 
 
