@@ -101,6 +101,17 @@ def elapsed(seconds: str | Column) -> Column:
     return F.when(s < 0, "∞").when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
 
 
+def clock_time(seconds: str | Column) -> Column:
+    """``HH:MM:SS`` of a time span, with as many hours as there are; negative ones count as 0."""
+    s = F.greatest(F.floor(_c(seconds)).cast("long"), F.lit(0).cast("long"))
+    return F.when(_c(seconds).isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60))
+
+
+def time_of_day(epoch: str | Column) -> Column:
+    """``HH:MM:SS`` of a moment in seconds since 1970, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(_c(epoch)), "HH:mm:ss")
+
+
 def ago(seconds: str | Column) -> Column:
     s = F.floor(_c(seconds)).cast("long")
     return F.when(s < 60, F.format_string("%ds ago", s)).when(s < 3600, F.format_string("%dm ago", F.floor(s / 60))).otherwise(F.format_string("%dh ago", F.floor(s / 3600)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstream.functions.urls import admissible, in_scope, link_kind, resolved
+from siltstream.functions.urls import admissible, in_scope, link_kind, normalize_url, resolved
 from siltstream.session import materialize
 
 #: Rounds whose tables are read side by side before they are written as one.
@@ -32,14 +32,17 @@ def edges(pages: DataFrame, url: str, links: Column) -> DataFrame:
     return pages.select(F.col(url).alias("page"), F.explode(F.array_distinct(links)).alias("href")).filter("href <> ''")
 
 
-def triage(found: DataFrame, scope: str = "smart", base: Column | None = None) -> DataFrame:
+def triage(found: DataFrame, scope: str = "smart", base: Column | None = None, normalize_keys: bool = False, strict_fixed: bool = False) -> DataFrame:
     """(page, url, kind): absolute links that are followed, as webpages or assets; noise and other sites go.
 
-    The seed is the page's own origin unless ``base`` names it.
+    The seed is the page's own origin unless ``base`` names it. With ``normalize_keys`` addresses that differ in their
+    encoding alone are one.
     """
     rows = found.select("page", resolved("page", "href").alias("url")).filter("url IS NOT NULL")
+    if normalize_keys:
+        rows = rows.select("page", normalize_url("url").alias("url"))
     seed = base if base is not None else F.regexp_extract("page", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    kept = rows.withColumn("kind", link_kind("url")).filter((F.col("kind") != "noise") & in_scope("url", seed, scope))
+    kept = rows.withColumn("kind", link_kind("url")).filter((F.col("kind") != "noise") & in_scope("url", seed, scope, strict_fixed))
     return kept.distinct()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstream.functions.urls import origin, percent_encoded
+from siltstream.operators.state import latest
 
 # Marks of challenge pages, in the order in which the first that is found decides.
 CHALLENGES = {
@@ -45,6 +46,8 @@ def decoded(raw: str | Column, body: str | Column) -> Column:
     return F.make_valid_utf8(F.coalesce(F.nullif(r, F.lit(b"")), b).cast("string"))
 
 
+#: Seconds for which a robots file holds.
+ROBOTS_TTL = 3600.0
 #: A rule of a robots file: the encoded beginning of the addresses it is for, and whether they may be fetched.
 RULE = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("allow", T.BooleanType())]))
 
@@ -74,6 +77,16 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     return robots.select("origin", F.coalesce(rules, F.array().cast(RULE)).alias("rules"))
 
 
+def fresh_robots(robots: DataFrame, now: Column, ttl: float = ROBOTS_TTL) -> DataFrame:
+    """The last row an origin of ``robots`` (origin, status, body, fetched_at) that is not older than ``ttl`` seconds.
+
+    Origins without one are those to be asked again. Rows without a time are too old.
+    """
+    last = latest(robots, "origin", F.col("fetched_at"))
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    return last.filter(age < ttl * 1_000_000)
+
+
 def robots_gate(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """``pages`` with ``allowed``, by ``robots`` (origin, status, body), one row an origin.
 

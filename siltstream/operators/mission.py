@@ -7,6 +7,7 @@ the mission when nothing is pending.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -36,7 +37,7 @@ def seeded(seeds: DataFrame) -> DataFrame:
     return state.insert_ignore(empty, rows, F.lit(0))[0]
 
 
-def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, scope: str = "smart", most_retries: int = 3, assets: DataFrame | None = None) -> Mission:
+def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, scope: str = "smart", most_retries: int = 3, assets: DataFrame | None = None, between: Callable[[DataFrame, int], bool] | None = None) -> Mission:
     """Crawl ``pages`` (url, status, html) from the pending addresses of ``store``.
 
     An address without a page fails as not found. Forbidden ones become ``skipped_robots``; challenge pages and error
@@ -44,6 +45,9 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
     taken once an address; of repeated rows any one. Rounds go on until nothing is pending: each address that is taken
     is completed, skipped or has a try less. Stored pages do not change, so no round waits before it tries again.
 
+    ``between`` is asked before each round, with the store and the number of rounds done, whether to go on; a mission
+    that ends so leaves addresses pending, and another goes on from its store.
+
     With ``assets`` (url, content), the assets found are completed where there is a content, else failed; without, they
     stay pending for another job.
     """
@@ -52,7 +56,7 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
     rules = robots if robots is not None else pages.sparkSession.createDataFrame([], "origin string, status int, body string")
     while True:
         waiting = state.pending(store, "webpage", most_retries).select("url")
-        if waiting.isEmpty():
+        if (between is not None and not between(store, rounds)) or waiting.isEmpty():
             break
         rounds += 1
         at = F.lit(datetime.now(timezone.utc))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstream.functions.text import ratio_percent
+from siltstream.functions.text import ratio_percent, shortened
 
 
 def status_histogram(store: DataFrame) -> DataFrame:
@@ -120,6 +120,28 @@ def latency_stats(samples: DataFrame, value: str, threshold: float) -> DataFrame
     return samples.filter(v > threshold).agg(F.max(v).alias("most"), F.avg(v).alias("mean"), F.count("*").alias("count"))
 
 
-def running_total(batches: DataFrame, size: str, order: str) -> DataFrame:
-    """Items written so far after each batch; batches are counted, not items, so one ordered task is enough."""
-    return batches.withColumn("total", F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def running_total(batches: DataFrame, size: str, order: str, part: Column | None = None) -> DataFrame:
+    """Items written so far after each batch, by two levels of prefix sums.
+
+    ``part`` cuts the batches into parts whose order is that of the batches (by default the day of a time, or its
+    thousands of a number); sums run within parts, and one task sees a row a part. Ties in ``order`` add together.
+    """
+    kind = batches.schema[order].dataType.simpleString()
+    if part is None:
+        part = F.to_date(F.col(order)) if kind.startswith(("date", "timestamp")) else F.floor(F.col(order).cast("double") / 1000)
+    rows = batches.withColumn("_part", part)
+    sums = rows.groupBy("_part").agg(F.sum(size).alias("_size"))
+    before = sums.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.coalesce("_size", F.lit(0))).alias("_before"))
+    own = F.sum(size).over(Window.partitionBy("_part").orderBy(order))
+    joined = rows.withColumn("_own", own).join(before.withColumnRenamed("_part", "_of"), F.col("_part").eqNullSafe(F.col("_of")))
+    return joined.withColumn("total", F.coalesce("_before", F.lit(0)) + F.col("_own")).drop("_part", "_of", "_own", "_before")
+
+
+def mission_report(store: DataFrame, n: int = 5, longest: int = 80) -> DataFrame:
+    """The report of a mission as one table (section, name, value): states, their total, and the top errors.
+
+    Sections are ``status``, ``total`` and ``error``; errors are cut as they are shown.
+    """
+    totals = status_totals(store).select(F.when(F.col("status") == "TOTAL", "total").otherwise("status").alias("section"), F.col("status").alias("name"), F.col("count").alias("value"))
+    errors = top_errors(store, n).select(F.lit("error").alias("section"), shortened("error", longest).alias("name"), F.col("count").alias("value"))
+    return totals.unionAll(errors)

@@ -73,6 +73,20 @@ def pending(store: DataFrame, kind: str, most_retries: int = 3) -> DataFrame:
     return store.filter((F.col("type") == kind) & ((F.col("status") == "pending") | ((F.col("status") == "failed") & tries)))
 
 
+def page(store: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the store in order of the address, so pages neither overlap nor leave gaps.
+
+    Repeated rows of an address follow each other in order of their other columns.
+    """
+    rest = [c for c in store.columns if c != "url"]
+    return store.orderBy("url", *rest).offset(offset).limit(limit)
+
+
+def cancelled(store: DataFrame) -> DataFrame:
+    """The store after its workers were stopped: what was in progress is pending again."""
+    return store.withColumn("status", F.when(F.col("status") == "in_progress", "pending").otherwise(F.col("status")))
+
+
 def next_tries(failures: DataFrame, most_retries: int = 3) -> DataFrame:
     """``failures`` (with retries, last_try) with ``attempt``, ``again`` and, where again, the time ``next_try``."""
     attempt = F.coalesce("retries", F.lit(0)) + 1

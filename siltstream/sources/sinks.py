@@ -36,17 +36,21 @@ def split_valid(items: DataFrame, required: tuple[str, ...] = REQUIRED, rules: d
     return valid, failed
 
 
-def write_items(items: DataFrame, folder: str, kind: str = "json", rows_per_file: int = 0) -> dict[str, int]:
+def write_items(
+    items: DataFrame, folder: str, kind: str = "json", rows_per_file: int = 0, required: tuple[str, ...] = REQUIRED, rules: dict[str, Column] | None = None, batch: int | None = None,
+) -> dict[str, int]:
     """Append the valid items to ``folder/items`` and the others to ``folder/failed``; how many each took.
 
-    Spark's commit makes a write whole or absent, and appending keeps earlier batches.
+    Spark's commit makes a write whole or absent, and appending keeps earlier batches. A ``batch`` has a partition of
+    its own, which it replaces when it comes again.
     """
-    valid, failed = split_valid(items)
+    valid, failed = split_valid(items, required, rules)
     counts = {}
     for name, part in (("items", valid), ("failed", failed)):
         seen = Observation(name)
-        writer = part.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").option("maxRecordsPerFile", rows_per_file)
-        writer.format("json" if name == "failed" else kind).save(f"{folder}/{name}")
+        writer = part.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append" if batch is None else "overwrite").option("maxRecordsPerFile", rows_per_file)
+        place = f"{folder}/{name}" if batch is None else f"{folder}/{name}/batch={batch}"
+        writer.format("json" if name == "failed" else kind).save(place)
         counts[name] = seen.get["n"]
     return counts
 
@@ -87,8 +91,12 @@ def packed_pages(pages: DataFrame, key: str, text: str, codec: str = "zstd") ->
 def export_pages(pages: DataFrame, name: str, text: str, folder: str, codec: str = "zstd") -> None:
     """One file a page, for those who need files; two pages of one name are told apart by a hash of their address.
 
-    ``pages`` needs the column ``url``. Tables are better kept as Parquet, which compresses with zstd by itself.
+    ``pages`` needs the column ``url``. The executors write the files themselves, so ``folder`` must be one that all of
+    them mount; an address of another file system is refused. Tables are better kept as Parquet, which compresses with
+    zstd by itself.
     """
+    if "://" in folder:
+        raise ValueError("files are written to a mounted folder; write a table to other file systems")
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.left(F.md5("url"), F.lit(8)))).otherwise("")
     counts = pages.groupBy(F.col(name).alias("_name")).agg(F.countDistinct("url").alias("_n"))
     named = pages.join(counts, pages[name] == counts["_name"]).select(F.concat(F.col(name), suffix).alias("name"), F.col(text).alias("text"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 import gzip
 
 import pyarrow as pa
@@ -104,5 +105,56 @@ def test_store_sink(spark, tmp_path):
     changes = spark.createDataFrame([("u", "completed", None, T0, 1)], "url string, status string, error string, at timestamp, seq int")
     sink(changes, 0)
     sink(changes.withColumn("status", F.lit("failed")), 0)  # the same batch again changes nothing
-    current = spark.read.parquet((tmp_path / "CURRENT").read_text())
-    assert [r.status for r in current.collect()] == ["completed"]
+    assert [r.status for r in sink.store.collect()] == ["completed"]
+
+
+def test_store_sink_goes_on_after_a_restart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams.StoreSink, "COMPACT", 3)
+    schema = "url string, status string, type string, retries int, last_error string, last_try timestamp, discovered_at timestamp"
+    store = spark.createDataFrame([(f"u{k}", "pending", "webpage", 0, None, None, None) for k in range(8)], schema)
+    change = lambda k, status: spark.createDataFrame([(f"u{k}", status, None, T0, 5), (f"u{k}", "in_progress", None, T0, 1)], "url string, status string, error string, at timestamp, seq int")
+    for k in range(8):
+        # Each batch meets a new sink, which is given the old store again.
+        streams.StoreSink(store, str(tmp_path))(change(k, "completed"), k)
+    sink = streams.StoreSink(store, str(tmp_path))
+    sink(change(0, "failed"), 7)
+    assert {(r.url, r.status) for r in sink.store.collect()} == {(f"u{k}", "completed") for k in range(8)}
+    sink(change(0, "failed"), 8)
+    assert {r.status for r in streams.StoreSink(store, str(tmp_path)).store.filter("url = 'u0'").collect()} == {"failed"}
+    assert sink.state["base"].endswith("base-9") and sink.state["changes"] == []
+
+
+def test_idle_state_goes(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "domain string, ts timestamp, ok boolean"
+    for minute in (0, 100, 200):
+        # Two failures at the start and at the end; another site's event in between moves the watermark on.
+        rows = [("b", T0 + dt.timedelta(minutes=minute), True)] if minute == 100 else [("a", T0 + dt.timedelta(minutes=minute, seconds=k), False) for k in (0, 1)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    _run(streams.fold_stream(stream, Breaker(5, 1_000_000), "domain", "ts", "ok", idle=1_800, late="1 minute"), "idle", tmp_path)
+    assert [r.failures for r in spark.table("idle").filter("key = 'a'").orderBy("at").collect()] == [1, 2, 1, 2]
+
+
+def test_item_sink(spark, tmp_path):
+    from siltstream.streaming.items import ItemSink
+
+    rows = [(f"https://h.test/{k}", f"text {k}" if k % 3 else None, "h.test") for k in range(12)]
+    told = []
+    schema = "url string, content string, domain string"
+    items = _stream(spark, tmp_path, rows, schema)
+    sink = ItemSink(str(tmp_path / "out"), rules={"url": F.col("url").startswith("https")}, on_flush=lambda n, c: told.append((n, c))).start(items, str(tmp_path / "cp"), 0.1)
+    sink.flush()
+    assert spark.read.json(str(tmp_path / "out" / "items")).count() == 8
+    assert sink.close() == {"written": 8, "failed": 4, "flushes": 2} and sum(c["items"] for _, c in told) == 8
+    failed = spark.read.json(str(tmp_path / "out" / "failed"))
+    assert failed.count() == 4 and {r.validation_error for r in failed.collect()} == {"content: required"}
+    # Another sink goes on from the checkpoint, and a batch that comes again replaces itself.
+    spark.createDataFrame([("https://h.test/new", "t", "h.test"), ("ftp://x", "t", "h.test")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    more = ItemSink(str(tmp_path / "out"), rules={"url": F.col("url").startswith("https")}).start(items, str(tmp_path / "cp"), 0.1)
+    more.flush()
+    again = spark.createDataFrame([("https://h.test/new", "t", "h.test")], schema)
+    more(again, 2)
+    more.close()
+    assert spark.read.json(str(tmp_path / "out" / "items")).count() == 9
+    assert more.close()["flushes"] == 2  # closed twice does no harm
