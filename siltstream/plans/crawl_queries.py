@@ -50,7 +50,16 @@ def url_admission(spark: SparkSession, folder: str) -> DataFrame:
     return urls.groupBy(U.link_kind("url").alias("kind"), U.admissible("url").alias("admissible")).agg(F.count("*").alias("rows"))
 
 
-@query()
+def recoded_sql(text: str) -> str:
+    """Percent-encoding of a path brought to one form."""
+    return f"replace(url_encode(url_decode({text})), '%2F', '/')"
+
+
+@query(rf"""WITH p AS (SELECT DISTINCT url, regexp_extract(url, '^([^?#]*://[^/?#]*)([^?#]*)', 1) AS head, regexp_extract(url, '^([^?#]*://[^/?#]*)([^?#]*)', 2) AS path,
+    regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS asked, regexp_extract(url, '#(.*)$', 1) AS fragment FROM urls WHERE url IS NOT NULL),
+    q AS (SELECT *, list_transform(list_filter(string_split(asked, '&'), lambda f: f <> ''), lambda f: replace(url_encode(url_decode(replace(string_split(f, '=')[1], '+', ' '))), '%20', '+')
+        || '=' || replace(url_encode(url_decode(replace(CASE WHEN contains(f, '=') THEN substr(f, instr(f, '=') + 1) ELSE '' END, '+', ' '))), '%20', '+')) AS fields FROM p)
+    SELECT url, head || {recoded_sql('path')} || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS normalized FROM q""")
 def url_normalize(spark: SparkSession, folder: str) -> DataFrame:
     urls = table(spark, folder, "urls", "url").distinct()
     return urls.select("url", U.normalize_url("url").alias("normalized"))
@@ -61,7 +70,14 @@ def url_middle_cut(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "urls", "url").distinct().select("url", U.middle_cut("url", 40).alias("shown"))
 
 
-@query()
+def slug_sql(text: str) -> str:
+    """The slug of a text whose letters decompose into a Latin letter and an accent, or are no letters of a slug."""
+    plain = f"regexp_replace(lower(strip_accents(replace(replace({text}, '’', '-'), chr(39), '-'))), '[^\\x00-\\x7F]', '', 'g')"
+    return f"trim(regexp_replace({plain}, '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(f"""SELECT DISTINCT url, coalesce(nullif({slug_sql(f"CASE WHEN starts_with(url, {SCHEME.format('url')} || '://' || {NETLOC.format('url')}) THEN substr(url, length({SCHEME.format('url')} || '://' || {NETLOC.format('url')}) + 1) ELSE url END")}, ''), 'index') AS file
+    FROM scraped_items""")
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "scraped_items", "url").distinct()
     return items.select("url", U.page_file("url", U.origin("url")).alias("file"))

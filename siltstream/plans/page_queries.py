@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstream.operators import assets, mission, pages, report
-from siltstream.plans.crawl_queries import KIND, NETLOC, SCHEME
+from siltstream.plans.crawl_queries import KIND, NETLOC, SCHEME, slug_sql
 from siltstream.plans.registry import query
 from siltstream.plans.text_queries import stripped_sql
 from siltstream.sources.tables import table
@@ -75,7 +75,8 @@ def asset_route(spark: SparkSession, folder: str) -> DataFrame:
     return urls.select("url", assets.extension("url").alias("extension"), assets.stem("url").alias("stem"), assets.folder("url").alias("folder"))
 
 
-@query()
+@query(rf"""SELECT url, {slug_sql(r"coalesce(nullif(CASE WHEN regexp_matches(last, '^.+\.[^.]+$') THEN regexp_replace(last, '\.[^.]+$', '') ELSE last END, ''), 'asset')")} || lower(regexp_extract(last, '^.+(\.[^.]+)$', 1)) AS file_name
+    FROM (SELECT DISTINCT url, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS last FROM urls WHERE type = 'asset')""")
 def asset_files(spark: SparkSession, folder: str) -> DataFrame:
     urls = table(spark, folder, "urls", "url", "type").filter("type = 'asset'").select("url").distinct()
     return urls.select("url", assets.file_name("url").alias("file_name"))

@@ -87,7 +87,24 @@ def enhance_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("item_id", M.enhanced("content", "headers", "url").alias("markdown"))
 
 
-@query()
+def _yaml_sql(value: str) -> str:
+    """A string as YAML: as it is where that is safe, else in double quotes."""
+    plain = f"regexp_full_match({value}, '[A-Za-z][A-Za-z0-9 _/.]*') AND trim({value}) = {value} AND lower({value}) NOT IN ('null', 'true', 'false', 'yes', 'no', 'on', 'off', 'y', 'n')"
+    return f"CASE WHEN {plain} THEN {value} ELSE CAST(to_json({value}) AS VARCHAR) END"
+
+
+def _frontmatter_sql() -> str:
+    parts = []
+    for key in sorted(("url", "title", "author", "date", "sitename", "ingestion_engine", "description", "keywords", "og_title", "og_description", "og_image", "og_type", "twitter_card", "twitter_site")):
+        if key == "keywords":
+            lines = f"array_to_string(list_transform(metadata.keywords, lambda k: '- ' || {_yaml_sql('k')} || chr(10)), '')"
+            parts.append(f"CASE WHEN len(metadata.keywords) > 0 THEN 'keywords:' || chr(10) || {lines} ELSE '' END")
+        else:
+            parts.append(f"CASE WHEN metadata.{key} IS NULL THEN '' ELSE '{key}: ' || {_yaml_sql(f'metadata.{key}')} || chr(10) END")
+    return "SELECT item_id, '---' || chr(10) || " + " || ".join(parts) + " || '---' || chr(10) || chr(10) AS frontmatter FROM scraped_items"
+
+
+@query(_frontmatter_sql())
 def frontmatter(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "scraped_items", "item_id", "metadata")
     kept = F.struct(*[F.col(f"metadata.{k}").alias(k) for k in M.FRONTMATTER_KEYS])
