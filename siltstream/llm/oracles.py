@@ -39,6 +39,16 @@ def form_sql(column: str) -> str:
     return f"nfc_normalize(translate({text}, '{''.join(plain)}', '{''.join(plain.values()).replace(chr(39), chr(39) * 2)}'))"
 
 
+# Keys of problem 6 without the differences in which they are written.
+SITE = r"nullif(regexp_replace(lower(trim({0})), '^www\.', ''), '')"
+NAME = r"nullif(regexp_replace(regexp_replace(lower(trim({0})), '[\s\-_.]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
+_CODE = "regexp_extract(lower(trim({0})), '^[^-_]*')"
+LANG = (
+    f"nullif(CASE {_CODE} WHEN 'eng' THEN 'en' WHEN 'english' THEN 'en' WHEN 'spa' THEN 'es' WHEN 'español' THEN 'es' WHEN 'spanish' THEN 'es' "
+    "WHEN 'fra' THEN 'fr' WHEN 'fre' THEN 'fr' WHEN 'français' THEN 'fr' WHEN 'french' THEN 'fr' WHEN 'deu' THEN 'de' WHEN 'ger' THEN 'de' WHEN 'deutsch' THEN 'de' WHEN 'german' THEN 'de' "
+    f"WHEN 'ita' THEN 'it' WHEN 'por' THEN 'pt' WHEN 'nld' THEN 'nl' WHEN 'dut' THEN 'nl' ELSE {_CODE} END, '')"
+)
+
 REPEATED_LINES = r"""
     WITH s AS (SELECT item_id, content, CASE WHEN starts_with(lower(domain), 'www.') THEN substr(lower(domain), 5) ELSE lower(domain) END AS site FROM scraped_items WHERE domain IS NOT NULL),
     l AS (SELECT item_id, site, line_no, regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g') AS key
@@ -68,6 +78,26 @@ def oracle_sql() -> dict[str, str]:
                 ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda line, n: NOT list_contains(gone, n)), chr(10)) END AS cleaned,
                 CAST(coalesce(len(gone), 0) AS INTEGER) AS lines_cut
             FROM scraped_items i LEFT JOIN g USING (item_id)""",
+        "p4_members": r"""
+            WITH w AS (SELECT item_id, md5(content) AS key FROM scraped_items WHERE len(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) >= 60)
+            SELECT item_id, min(item_id) OVER (PARTITION BY key) AS representative FROM w""",
+        "p6_counts": rf"""
+            WITH k AS (SELECT 'documents' AS origin, {NAME.format("source")} AS source, {LANG.format("lang")} AS lang, {SITE.format("domain")} AS domain, nullif(text, '') AS text FROM documents
+                UNION ALL SELECT 'scraped_items', NULL, NULL, {SITE.format("domain")}, nullif(content, '') FROM scraped_items)
+            SELECT origin, source, lang, domain, count(*) AS documents, count(DISTINCT md5(text)) AS distinct_texts, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters
+            FROM k GROUP BY ALL""",
+        "p7_whole": """
+            SELECT spec_name, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS cut_in_vain, CAST(0 AS BIGINT) AS over_capacity FROM pack_specs""",
+        "p8_spans": rf"""
+            WITH d AS (SELECT doc_id AS id, {form} AS text FROM documents), e AS (SELECT eval_id AS id, {form} AS text FROM eval_items),
+            dw AS (SELECT id, regexp_extract_all(lower(regexp_replace(text, '{markup}', ' ', 'g')), '[\p{{L}}\p{{N}}]+') AS w FROM d),
+            ew AS (SELECT id, regexp_extract_all(lower(regexp_replace(text, '{markup}', ' ', 'g')), '[\p{{L}}\p{{N}}]+') AS w FROM e),
+            dp AS (SELECT id, unnest(range(0, len(w) - 11)) AS first, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS phrase FROM dw WHERE len(w) >= 12),
+            ep AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS phrase FROM ew WHERE len(w) >= 12),
+            h AS (SELECT DISTINCT dp.id AS doc_id, ep.id AS eval_id, dp.first FROM dp JOIN ep USING (phrase)),
+            n AS (SELECT *, CASE WHEN first - lag(first) OVER (PARTITION BY doc_id, eval_id ORDER BY first) <= 12 THEN 0 ELSE 1 END AS opens FROM h),
+            r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, eval_id ORDER BY first) AS run FROM n)
+            SELECT doc_id, eval_id, min(first) AS first_word, max(first) + 11 AS last_word FROM r GROUP BY doc_id, eval_id, run""",
         "p8_found": rf"""
             WITH d AS (SELECT doc_id AS id, {form} AS text FROM documents), e AS (SELECT eval_id AS id, {form} AS text FROM eval_items),
             dw AS (SELECT id, regexp_extract_all(lower(regexp_replace(text, '{markup}', ' ', 'g')), '[\p{{L}}\p{{N}}]+') AS w FROM d),

@@ -134,6 +134,11 @@ def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
     return by_all.select(F.lit("documents").alias("origin"), *by_all.columns).unionByName(by_domain)
 
 
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``p6_totals`` says but for the tokens: documents, distinct texts and characters by the same keys."""
+    return p6_totals(spark, folder).drop("tokens")
+
+
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]]:
     docs = table(spark, folder, "documents", "doc_id", "text")
     texts = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -147,6 +152,21 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder)[0].withColumnRenamed("id", "doc_id")
 
 
+def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What a packing must keep, by capacity: all documents, none over capacity, every token of a document once."""
+    packed, specs = _packed(spark, folder)
+    capacity = F.element_at(F.create_map(*[F.lit(x) for pair in specs.items() for x in pair]), F.col("spec_name"))
+    full = packed.filter("container_id IS NOT NULL").groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("held"))
+    over = full.groupBy("spec_name").agg(F.count_if(F.col("held") > capacity).alias("over_capacity"))
+    # Pieces tile a document if the ends of all but the last are the starts of all but the first.
+    tiled = F.sum(F.col("first_token") + F.col("tokens")) - F.max(F.col("first_token") + F.col("tokens")) == F.sum("first_token") - F.min("first_token")
+    # A document is cut only where it alone exceeds the capacity.
+    cut = (F.count("*") > 1) & (F.sum("tokens") <= F.first(capacity))
+    docs = packed.groupBy("spec_name", "id").agg((tiled & (F.min("first_token") == 0) & (F.count("*") == F.max("piece_no"))).alias("tiled"), cut.alias("cut"))
+    kept = docs.groupBy("spec_name").agg(F.count("*").alias("documents"), F.count_if(~F.col("tiled")).alias("broken"), F.count_if("cut").alias("cut_in_vain"))
+    return kept.join(over, "spec_name", "left")
+
+
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_rates(*_packed(spark, folder))
 
@@ -182,7 +202,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_cleaned": p5_cleaned,
         "p5_passages": p5_passages,
         "p6_totals": p6_totals,
+        "p6_counts": p6_counts,
         "p7_packed": p7_packed,
+        "p7_whole": p7_whole,
         "p7_fill": p7_fill,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
