@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.functions.urls import admissible, in_scope, link_kind, normalize_url, resolved
-from siltstream.session import materialize
+from siltstream.session import materialize, release
 
 #: Rounds whose tables are read side by side before they are written as one.
 TOGETHER = 20
@@ -60,7 +60,7 @@ def reach(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     graph = materialize(graph.select("src", "dst").distinct(), "graph")
     seen = materialize(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "reach")
-    last, depth = seen, 0
+    last, depth, rounds = seen, 0, [seen]
     while True:
         depth += 1
         step = graph.join(last.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
@@ -68,5 +68,9 @@ def reach(graph: DataFrame, seeds: DataFrame) -> DataFrame:
         if last.isEmpty():
             return seen
         seen = seen.unionAll(last)
+        rounds.append(last)
         if depth % TOGETHER == 0:
             seen = materialize(seen, "reach")
+            for done in rounds[:-1]:
+                release(done)
+            rounds = [seen, last]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siltstream.operators import frontier, gating, state
 from siltstream.operators.pages import parse_pages
-from siltstream.session import materialize
+from siltstream.session import materialize, release
 
 STORE = "url string, status string, type string, retries int, last_error string, last_try timestamp, discovered_at timestamp"
 
@@ -81,7 +81,10 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
         changes = judged.select("url", done.alias("status"), F.nullif("error", F.lit("robots")).alias("error"), at.alias("at"), F.lit(rounds).alias("seq"))
         failed = judged.filter("error IS NOT NULL AND error <> 'robots'").select("url")
         merged = state.add_retries(state.merge_status(store, changes), failed)
-        store = materialize(state.insert_ignore(merged, fresh, F.col("type"))[0], "store")
+        before, store = store, materialize(state.insert_ignore(merged, fresh, F.col("type"))[0], "store")
+        # The new store is written, so nothing reads the old one and this round's pages again.
+        release(before)
+        release(judged)
     if assets is not None:
         at = F.lit(datetime.now(timezone.utc))
         held = assets.filter("content IS NOT NULL").select("url", F.lit(True).alias("held")).distinct()

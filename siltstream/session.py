@@ -102,7 +102,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_folder(spark)}/siltstream-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._siltstream_path = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Remove the files of a materialized table before the driver ends: a loop needs those of its last round only."""
+    path = getattr(table, "_siltstream_path", None)
+    if path:
+        _remove(table.sparkSession, path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
