@@ -53,6 +53,7 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
     """
     pages = materialize(pages.dropDuplicates(["url"]), "pages")
     store, items, rounds = materialize(store, "store"), None, 0
+    before: DataFrame | None = None
     rules = robots if robots is not None else pages.sparkSession.createDataFrame([], "origin string, status int, body string")
     while True:
         waiting = state.pending(store, "webpage", most_retries).select("url")
@@ -81,10 +82,11 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
         changes = judged.select("url", done.alias("status"), F.nullif("error", F.lit("robots")).alias("error"), at.alias("at"), F.lit(rounds).alias("seq"))
         failed = judged.filter("error IS NOT NULL AND error <> 'robots'").select("url")
         merged = state.add_retries(state.merge_status(store, changes), failed)
-        before, store = store, materialize(state.insert_ignore(merged, fresh, F.col("type"))[0], "store")
-        # The new store is written, so nothing reads the old one and this round's pages again.
-        release(before)
+        older, before, store = before, store, materialize(state.insert_ignore(merged, fresh, F.col("type"))[0], "store")
+        # This round's pages are not read again; the store of the round before is kept for who looks at it just now.
         release(judged)
+        if older is not None:
+            release(older)
     if assets is not None:
         at = F.lit(datetime.now(timezone.utc))
         held = assets.filter("content IS NOT NULL").select("url", F.lit(True).alias("held")).distinct()
