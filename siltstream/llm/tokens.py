@@ -6,7 +6,7 @@ count is joined back to every document that holds it before the totals are summe
 
 from __future__ import annotations
 
-import importlib.util
+import ast
 import os
 from collections.abc import Callable, Iterator
 
@@ -28,13 +28,16 @@ LANGUAGES = {
 }
 
 
-def counter(name: str = TOKENIZER, folder: str = VOCABULARIES) -> Callable[[str], int]:
-    """A function that counts the tokens of a text under the tokenizer file ``name``; stray surrogates count as ``?``."""
-    count = _counter(name, folder)
+def counter(name: str = TOKENIZER, folder: str = VOCABULARIES, pattern: str | None = None) -> Callable[[str], int]:
+    """A function that counts the tokens of a text under the tokenizer file ``name``; stray surrogates count as ``?``.
+
+    Ranks need the ``pattern`` that splits a text; by default it is the one that the folder states as PATTERN.
+    """
+    count = _counter(name, folder, pattern)
     return lambda text: count(text.encode("utf-8", "replace").decode("utf-8"))
 
 
-def _counter(name: str, folder: str) -> Callable[[str], int]:
+def _counter(name: str, folder: str, pattern: str | None) -> Callable[[str], int]:
     path = os.path.join(folder, name)
     if name.endswith(".tiktoken"):
         import base64
@@ -43,7 +46,7 @@ def _counter(name: str, folder: str) -> Callable[[str], int]:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        encoding = tiktoken.Encoding(name, pat_str=_pattern(folder), mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding(name, pat_str=pattern or _pattern(folder), mergeable_ranks=ranks, special_tokens={})
         return lambda text: len(encoding.encode_ordinary(text))
     if name.endswith(".json"):
         from tokenizers import Tokenizer
@@ -58,14 +61,16 @@ def _counter(name: str, folder: str) -> Callable[[str], int]:
 
 
 def _pattern(folder: str) -> str:
-    """The split pattern that the vocabulary's package states."""
-    spec = importlib.util.spec_from_file_location("vocabularies", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
+    """The split pattern that the vocabulary's folder states, read as a constant; nothing there is run."""
+    with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as source:
+        tree = ast.parse(source.read())
+    for node in tree.body:
+        if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in node.targets):
+            return ast.literal_eval(node.value)
+    raise ValueError(f"{folder} states no pattern; pass one")
 
 
-def count_tokens(texts: DataFrame, name: str = TOKENIZER, folder: str = VOCABULARIES) -> DataFrame:
+def count_tokens(texts: DataFrame, name: str = TOKENIZER, folder: str = VOCABULARIES, pattern: str | None = None) -> DataFrame:
     """(``key``, tokens) of (key, text). The tokenizer is loaded once a task."""
     texts = texts.select("key", "text")
     kind = texts.schema["key"].dataType.simpleString()
@@ -73,7 +78,7 @@ def count_tokens(texts: DataFrame, name: str = TOKENIZER, folder: str = VOCABULA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for batch in batches:
-            count = count or counter(name, folder)
+            count = count or counter(name, folder, pattern)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(t) for t in batch.column(1).to_pylist()], pa.int64())], ["key", "tokens"])
 
     return texts.mapInArrow(run, f"key {kind}, tokens bigint")
@@ -92,7 +97,7 @@ def name_key(column: str | Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(name, r"[\s\-_.]+", "_"), "^_+|_+$", ""), F.lit(""))
 
 
-def token_totals(df: DataFrame, text_column: str, keys: dict[str, Column], name: str = TOKENIZER, folder: str = VOCABULARIES) -> DataFrame:
+def token_totals(df: DataFrame, text_column: str, keys: dict[str, Column], name: str = TOKENIZER, folder: str = VOCABULARIES, pattern: str | None = None) -> DataFrame:
     """(keys..., documents, distinct_texts, characters, tokens): one row for each combination of ``keys``.
 
     ``tokens`` counts every document, its copies included. Null and empty texts count as documents of 0 tokens; null
@@ -104,7 +109,7 @@ def token_totals(df: DataFrame, text_column: str, keys: dict[str, Column], name:
     copies = docs.groupBy(*keys, "_hash").agg(F.count("*").alias("_copies"), F.max(F.char_length("_text")).alias("_chars"))
     # Copies meet within their task before anything is sent, so a hot text is sent once a task.
     distinct = docs.filter("_hash IS NOT NULL").groupBy("_hash").agg(F.first("_text").alias("text"))
-    counted = count_tokens(distinct.withColumnRenamed("_hash", "key"), name, folder).withColumnRenamed("key", "_hash")
+    counted = count_tokens(distinct.withColumnRenamed("_hash", "key"), name, folder, pattern).withColumnRenamed("key", "_hash")
     joined = copies.join(counted, "_hash", "left")
     return joined.groupBy(*keys).agg(
         F.sum("_copies").alias("documents"),
