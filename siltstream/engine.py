@@ -40,9 +40,9 @@ class Engine:
     are pending again.
     """
 
-    def __init__(self, pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, settings: Settings | None = None, scope: str = "smart", on_state: Callable[[str, str | None, str | None], None] | None = None) -> None:
+    def __init__(self, pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, settings: Settings | None = None, scope: str = "smart", lock: state.MissionLock | None = None, on_state: Callable[[str, str | None, str | None], None] | None = None) -> None:
         self.pages, self.robots, self.settings, self.scope, self.on_state = pages, robots, settings or Settings(), scope, on_state
-        self.store, self.items = state.cancelled(store), None
+        self.store, self.items, self.lock = state.cancelled(store), None, lock
         self.rounds, self.mode = 0, "stealth"
         self.status, self._go, self._stopped = "starting", threading.Event(), False
         self._go.set()
@@ -79,13 +79,19 @@ class Engine:
         return not self._stopped
 
     def run(self) -> mission.Mission:
-        """Rounds until nothing is pending or the engine is stopped."""
+        """Rounds until nothing is pending or the engine is stopped. With a lock, one engine a site runs at a time."""
+        if self.lock is not None and not self.lock.acquire():
+            self._change("error", "locked")
+            raise RuntimeError("another mission of this site is running")
         self._change("running")
         try:
             done = mission.run(self.pages, self.store, self.robots, self.scope, between=self._between)
         except Exception as failure:
             self._change("error", str(failure))
             raise
+        finally:
+            if self.lock is not None:
+                self.lock.release()
         self.store, self.items, self.rounds = done.store, done.items, self.rounds + done.rounds
         self.stats.forget()
         self._change("finalizing")

@@ -51,10 +51,9 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
     With ``assets`` (url, content), the assets found are completed where there is a content, else failed; without, they
     stay pending for another job.
     """
-    pages = materialize(pages.dropDuplicates(["url"]), "pages")
+    pages = materialize(pages.select("url", "status", "html").dropDuplicates(["url"]), "pages")
     store, items, rounds = materialize(store, "store"), None, 0
     before: DataFrame | None = None
-    rules = robots if robots is not None else pages.sparkSession.createDataFrame([], "origin string, status int, body string")
     while True:
         waiting = state.pending(store, "webpage", most_retries).select("url")
         if (between is not None and not between(store, rounds)) or waiting.isEmpty():
@@ -62,7 +61,7 @@ def run(pages: DataFrame, store: DataFrame, robots: DataFrame | None = None, sco
         rounds += 1
         at = F.lit(datetime.now(timezone.utc))
         # Addresses alone pass the robots gate; only the pages of those it lets through are joined.
-        gated = gating.robots_gate(waiting, rules)
+        gated = gating.robots_gate(waiting, robots) if robots is not None else waiting.withColumn("allowed", F.lit(True))
         gated = gated.join(pages.withColumnRenamed("status", "code").withColumn("allowed", F.lit(True)), ["url", "allowed"], "left")
         kind = gating.response_class("code")
         error = (

@@ -64,6 +64,20 @@ def test_pause_holds_the_next_round(spark):
     assert not run.is_alive() and engine.get_stats()["completed"] == 4
 
 
+def test_one_mission_a_site(spark, tmp_path):
+    lock = state.MissionLock(str(tmp_path), "h.test")
+    pages = spark.createDataFrame(PAGES[:1], "url string, status int, html string").withColumn("code", F.lit(1)).withColumn("allowed", F.lit("x"))
+    store = mission.seeded(spark.createDataFrame([("https://h.test/9",)], "url string"))
+    held = state.MissionLock(str(tmp_path), "h.test")
+    assert held.acquire()
+    with pytest.raises(RuntimeError):
+        Engine(pages, store, lock=lock).run()
+    assert held.release()
+    engine = Engine(pages, store, lock=lock)
+    assert engine.run().rounds == 3 and engine.get_stats()["failed"] == 1  # tried three times
+    assert lock.acquire() and lock.release()
+
+
 def test_config_within_bounds(spark):
     engine = _engine(spark)
     before = engine.get_config()
