@@ -187,6 +187,22 @@ def schema_split(spark: SparkSession, folder: str) -> DataFrame:
     return items.groupBy(F.coalesce(F.nullif(errors, F.lit("")), F.lit("valid")).alias("outcome")).agg(F.count("*").alias("items"))
 
 
+@query("""SELECT codec, count(*) AS pages, CAST(sum(strlen(coalesce(content, ''))) AS BIGINT) AS original, count(*) AS restored
+    FROM scraped_items, (VALUES ('zstd'), ('gzip'), ('none')) AS c(codec) GROUP BY codec""")
+def compression_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """How many contents come back whole from each codec, and their bytes."""
+    items = table(spark, folder, "scraped_items", "item_id", "content")
+    sums = items.select(F.col("item_id").alias("key"), F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
+    totals = None
+    for codec in ("zstd", "gzip", "none"):
+        text = F.pandas_udf(lambda data, codec=codec: data.map(lambda x: sinks.unpacked(x, codec)), "string")
+        packed = sinks.packed_pages(items, "item_id", "content", codec).select("key", "original", F.md5(text("data")).alias("back"))
+        part = packed.join(sums, "key").agg(F.count("*").alias("pages"), F.sum("original").alias("original"), F.count_if(F.col("back") == F.col("digest")).alias("restored"))
+        part = part.select(F.lit(codec).alias("codec"), "pages", "original", "restored")
+        totals = part if totals is None else totals.unionAll(part)
+    return totals
+
+
 @query()
 def compression_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes of all contents before and after compression, by codec."""

@@ -57,7 +57,8 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("text"))
 
 
-@query()
+# The repair undoes what spoiled a text, so every text must come back.
+@query("SELECT doc_id, true AS restored FROM documents WHERE text IS NOT NULL")
 def repair_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every text mis-read as Windows-1252 where it can be, and put right again."""
     docs = table(spark, folder, "documents", "doc_id", "text").filter("text IS NOT NULL")

@@ -71,6 +71,19 @@ def packed(text: str, codec: str) -> bytes:
     raise ValueError(f"unknown codec {codec!r}")
 
 
+def unpacked(data: bytes, codec: str) -> str:
+    """The text of a page's bytes."""
+    if codec == "zstd":
+        import zstandard
+
+        data = zstandard.ZstdDecompressor().decompress(data)
+    elif codec == "gzip":
+        import gzip
+
+        data = gzip.decompress(data)
+    return data.decode("utf-8")
+
+
 ENDINGS = {"zstd": ".md.zst", "gzip": ".md.gz", "none": ".md"}
 
 
