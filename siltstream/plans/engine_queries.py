@@ -11,7 +11,7 @@ from siltstream.functions import text as X
 from siltstream.functions import urls as U
 from siltstream.operators import activity, frontier, report, state, transport
 from siltstream.operators.policies import fold
-from siltstream.plans.crawl_queries import BELOW, NETLOC, SCHEME
+from siltstream.plans.crawl_queries import BELOW, KIND, LINKS, NETLOC, SCHEME, recoded_sql
 from siltstream.plans.policy_queries import ENGINE, _breaker_sql
 from siltstream.plans.registry import query
 from siltstream.sources.tables import table
@@ -153,7 +153,17 @@ def scope_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return urls.select("url", U.in_scope("url", F.concat(U.origin("url"), F.lit("/news/")), "strict", strict_fixed=True).alias("inside"))
 
 
-@query()
+def _normalized_sql(url: str) -> str:
+    """An address with its path and query encoded one way, as one expression."""
+    fields = f"list_filter(string_split(regexp_extract({url}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda f: f <> '')"
+    code = lambda text: f"replace(url_encode(url_decode(replace({text}, '+', ' '))), '%20', '+')"
+    name, value = "string_split(f, '=')[1]", "CASE WHEN contains(f, '=') THEN substr(f, instr(f, '=') + 1) ELSE '' END"
+    query_ = f"array_to_string(list_transform({fields}, lambda f: {code(name)} || '=' || {code(value)}), '&')"
+    head, path = (f"regexp_extract({url}, '^([^?#]*://[^/?#]*)([^?#]*)', {k})" for k in (1, 2))
+    return f"{head} || {recoded_sql(path)} || CASE WHEN {query_} <> '' THEN '?' || {query_} ELSE '' END"
+
+
+@query(f"WITH {LINKS} SELECT DISTINCT page, {_normalized_sql('url')} AS url, {KIND.format('(' + _normalized_sql('url') + ')')} AS kind FROM links")
 def link_keys(spark: SparkSession, folder: str) -> DataFrame:
     """The links of one round with addresses in one encoding as their keys."""
     items = table(spark, folder, "scraped_items", "url", "content")
