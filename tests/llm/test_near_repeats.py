@@ -261,3 +261,54 @@ def test_template_lists_are_split(spark):
     wanted = {p for f in range(0, len(rows), 4) for p in by_hand(rows[f : f + 4], 3, 0.6, 60)}
     assert got == wanted and len(wanted) > 8_000
     assert members.filter("id <> rep").count() == 0
+
+
+def versions(seed, sites, each, spread=0):
+    """Versions of each site's page at a Jaccard index of about 0.6; ``spread`` words more or less make sizes differ."""
+    rng, rows = random.Random(seed), []
+    for site in range(sites):
+        common = [f"s{site}c{i}" for i in range(182)]
+        body = [f"s{site}b{i}" for i in range(118)]
+        for version in range(each):
+            own = list(body)
+            for at in rng.sample(range(0, 117), 14):
+                own[at] = f"s{site}v{version}w{at}"
+            more = [f"s{site}m{i}" for i in range(rng.randint(0, spread))]
+            rows.append((len(rows), " ".join(common + own + more)))
+    return rows
+
+
+@pytest.mark.parametrize("most,spread", [(5, 0), (20, 0), (20, 120)])
+def test_long_lists_lose_no_pair(spark, most, spread):
+    """Pairs whose keys all stand in lists of more than ``most`` texts, as each list is of one site's versions."""
+    rows = versions(21, 4, 60, spread) + [(1_000 + i, f"a b c d e f g{i % 7} h i j k l" + " m" * 60) for i in range(40)]
+    df = spark.createDataFrame(rows, "item_id bigint, content string")
+    pairs, members = near.near_duplicates(df, "item_id", "content", width=3, threshold=0.6, least_words=60, most=most)
+    got = {(r.id_a, r.id_b) for r in near.direct_pairs(pairs, members).collect()}
+    wanted = by_hand(rows, 3, 0.6, 60)
+    assert got == wanted and len(wanted) > 1_000
+
+
+@pytest.mark.parametrize("width,threshold", [(3, 0.6), (5, 0.8), (3, 0.3)])
+def test_rare_lists_and_blocks_hold_all_pairs_that_the_sketches_let_pass(spark, width, threshold):
+    """Sizes on both sides of K and any overlaps: the lists bring together whatever ``needed`` lets pass."""
+    rng, rows = random.Random(width), []
+    for i in range(150):
+        n = rng.randint(5, 260)
+        rows.append((i, " ".join([f"t{k}" for k in range(n)][: rng.randint(n // 3, n)] + [f"x{i}y{k}" for k in range(rng.randint(0, 80))])))
+    kept = near.sketches(spark.createDataFrame(rows, "id bigint, text string"), width, width).cache()
+    sketch = {r.id: (r.size, set(r.sketch)) for r in kept.collect()}
+    wanted = set()
+    for a, (n, x) in sketch.items():
+        for b, (m, y) in sketch.items():
+            low, high = sorted((n, m))
+            share = min(1, threshold / (1 + threshold) * (1 + low / high))
+            least = threshold / (1 + threshold) * (low + high) if high <= near.K else near.K * share - near.SLACK * math.sqrt(near.K * share * (1 - share))
+            if a < b and low >= threshold * high - 1e-9 and len(x & y) >= max(1, least - 1e-9):
+                wanted.add((a, b))
+    rare = near._met(near.rare_postings(kept, threshold)).drop("texts")
+    met = {(r.a, r.b) for r in near._partners(rare, threshold).collect()}
+    assert met >= wanted and len(wanted) > 100
+    cut = near.blocks(rare, threshold, 6)
+    assert cut.groupBy("key").count().agg({"count": "max"}).first()[0] <= 6
+    assert {(r.a, r.b) for r in near._partners(cut, threshold).collect()} == met
